@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import compression_classifier
+from tessera.llm import balanced_mix, compression_classifier, kd_shards, token_files
 from tessera.llm.common import read
 
 
+def op3_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(files)
+
+
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shards(read(spark, sf_dir, "documents"), count=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = balanced_mix.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -17,5 +34,5 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {"op10_compression_quality": op10_compression_quality}
+QUERIES = {f.__name__: f for f in (op3_token_bits, op5_kd_shards, op8_cube_mix, op10_compression_quality)}
 ORACLE_SQL: dict[str, str] = {}
