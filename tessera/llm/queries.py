@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import balanced_mix, compression_classifier, kd_shards, token_files
+from tessera.llm import balanced_mix, compression_classifier, fingerprints, kd_shards, secrets, token_files
 from tessera.llm.common import read
 
 
+def op1_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_edits(read(spark, sf_dir, "documents"))
+    own, edited, following = (F.col(f"{x}fingerprint") for x in ("", "edited_", "next_"))
+    found = found.withColumns({"near_edited": fingerprints.resemblance(own, edited), "near_next": fingerprints.resemblance(own, following), "n_shingles_estimate": fingerprints.distinct(own)})
+    found = found.withColumns({"fingerprint": fingerprints.as_text(own), "edited_fingerprint": fingerprints.as_text(edited)})
+    return found.drop("next_fingerprint")
+
+
 def op3_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +29,19 @@ def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(secrets.BASE)],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
+    )
+
+
 def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = balanced_mix.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -34,5 +55,5 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_bits, op5_kd_shards, op8_cube_mix, op10_compression_quality)}
+QUERIES = {f.__name__: f for f in (op1_bottom_k, op3_token_bits, op5_kd_shards, op7_secret_owners, op8_cube_mix, op10_compression_quality)}
 ORACLE_SQL: dict[str, str] = {}
