@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, stored
+from tessera.llm.common import WORD, small, stored
 
 #: Documents that one task balances at a time.
 BLOCK = 2048
@@ -148,3 +148,15 @@ def _with_source(rows: DataFrame, per: DataFrame) -> DataFrame:
     """Rows with the columns of their source's only row in ``per``; null is a source too."""
     extra = [c for c in per.columns if c != "source"]
     return rows.alias("r").join(per.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", *[f"s.{c}" for c in extra])
+
+
+def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows, with all their columns, as often as ``mixed`` (from ``mix``) takes them.
+
+    Rows that share an id are each taken as often as they are on average, rounded up. Rows with a null
+    id can't be told apart and stay as they are.
+    """
+    chosen = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.avg("copies")).cast("int").alias("_copies"))
+    chosen = stored(chosen.where("_copies > 0"), "mix-chosen")
+    taken = docs.join(small(chosen), F.col(doc_id) == F.col("_id")).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))

@@ -69,3 +69,12 @@ def running(ranged: DataFrame, keys: list[str], sums: dict[str, Column], by: lis
     inner = ranged.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"_{n}_own") for n, c in sums.items()])
     joined = inner.alias("i").join(base.alias("b"), [F.col("i.part") == F.col("b.part"), *[F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]])
     return joined.select("i.*", *[(F.col(f"_{n}_own") + F.col(f"_{n}_base")).alias(n) for n in sums]).drop(*[f"_{n}_own" for n in sums])
+
+
+#: Rows of a few numbers that are broadcast at most; beyond that a shuffle join takes over.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of narrow rows, marked for broadcast if it has at most ``BROADCAST_ROWS``."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -135,3 +135,16 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
+
+
+def accept(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose whole text scores ``least`` or more; see ``score``."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for batch in batches:
+            s = scorer([(x.as_py() or "").encode() for x in batch.column(at)])
+            yield batch.filter(pa.array(s >= least))
+
+    return docs.mapInArrow(run, docs.schema)

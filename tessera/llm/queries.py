@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import balanced_mix, compression_classifier, fingerprints, kd_shards, secrets, token_files
+from tessera.llm import balanced_mix, best_fit, compression_classifier, fingerprints, kd_shards, multiprobe, parity_join, run_index, secrets, token_files
 from tessera.llm.common import read
 
 
@@ -17,6 +17,10 @@ def op1_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("next_fingerprint")
 
 
+def op2_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,11 +28,20 @@ def op3_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files)
 
 
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(read(spark, sf_dir, "documents"))
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shards(read(spark, sf_dir, "documents"), count=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parity_join.groups(read(spark, sf_dir, "documents"), size=3, num=9, den=10)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -47,6 +60,12 @@ def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_index.dedup(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -55,5 +74,19 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bottom_k, op3_token_bits, op5_kd_shards, op7_secret_owners, op8_cube_mix, op10_compression_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bottom_k,
+        op2_multiprobe,
+        op3_token_bits,
+        op4_best_fit,
+        op5_kd_shards,
+        op6_parity_join,
+        op7_secret_owners,
+        op8_cube_mix,
+        op9_run_index,
+        op10_compression_quality,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import small, stored
 
 # The patterns of the three base kinds, with the group that holds the value and its least length.
 BASE = (
@@ -66,7 +66,7 @@ def base_spans(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", copied_by: int = COPIED_BY) -> DataFrame:
-    """``doc_id, base, spans`` for each row; spans carry ``start, kind, end, repositories, owners, live``.
+    """``doc_id, text_hash, base, spans`` for each row; spans carry ``start, kind, end, repositories, owners, live``.
 
     ``kind`` counts in ``KINDS``. A repository is one of an owner's (owner and name together). A null
     owner or repository is one of its own. ``live`` holds for a random-looking value with fewer than
@@ -77,7 +77,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     body = F.coalesce(F.col(text), F.lit(""))
     bare = F.filter(located(body, BARE, 0), lambda s: random_looking(s["value"]))
     bare = F.when(body.rlike("[0-9]"), F.transform(bare, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash"), F.lit(True).alias("random"))))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), base_spans(body).alias("base"), bare.alias("bare"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_hash"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), base_spans(body).alias("base"), bare.alias("bare"))
     clear = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     rows = rows.withColumn("bare", F.coalesce(F.filter("bare", lambda s: clear(s, F.col("base"))), F.array().cast("array<struct<start:int,kind:int,end:int,hash:bigint,random:boolean>>")))
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "secret-spans")
@@ -94,7 +94,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     span = F.struct("start", "kind", "end", "repositories", "owners", "live")
     spans = labelled.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("spans"))  # a document's own spans
     none = F.array().cast("array<struct<start:int,kind:int,end:int,repositories:bigint,owners:bigint,live:boolean>>")
-    return rows.join(spans, "rid", "left").select("doc_id", "base", F.coalesce("spans", none).alias("spans"))
+    return rows.join(spans, "rid", "left").select("doc_id", "text_hash", "base", F.coalesce("spans", none).alias("spans"))
 
 
 def _with_stats(places: DataFrame, stats: DataFrame) -> DataFrame:
@@ -125,3 +125,16 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
     whole = F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def without_live(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options: object) -> DataFrame:
+    """All rows with all their columns; live spans are masked in the text, and ``n_chars`` follows.
+
+    Clean rows stay as they are. Options are those of ``scan``.
+    """
+    found = scan(docs, doc_id, text, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
+    found = stored(found.where(F.size("_spans") > 0).dropDuplicates(["_id", "_h"]), "secret-live")
+    body = F.coalesce(F.col(text), F.lit(""))
+    joined = docs.join(small(found), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_h")), "left")
+    masked_text = F.when(F.col("_spans").isNotNull(), masked(body, F.col("_spans"))).otherwise(F.col(text))
+    return joined.withColumns({n_chars: F.when(F.col("_spans").isNotNull(), F.length(masked(body, F.col("_spans"))).cast("long")).otherwise(F.col(n_chars)), text: masked_text}).select(docs.columns)
