@@ -15,7 +15,8 @@ Equal sets are one class throughout, so copies cost nothing. What is asked for i
 together; a pair of classes that is known to hang together already need not be verified. Blocks that
 only a few classes share give all their pairs. In larger ones each class meets two others drawn at
 random; what still doesn't hang together after that is compared in cells of bounded size, each class
-outside the block's largest component with every other class of the block. No link is lost.
+outside the block's largest component with every other class of the block: first only its nearest
+ones are verified, then whatever is within the bound. No link is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from tessera.llm.components import components
 
 #: Classes of a block up to which all pairs are candidates at once; classes on a side of a cell.
 FEW, CELL = 4, 1024
+#: Partners that a class outside a block's largest component tries first in a cell.
+NEAREST = 2
 
 
 @dataclass(frozen=True)
@@ -75,11 +78,11 @@ def class_of(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray, rule: Rule) -> bytes:
-    """Parity sketch of a power of two bits, about four times the largest distance of interest.
+    """Parity sketch of a power of two bits, sixteen times the largest distance of interest or more.
 
     A larger sketch folds into a smaller one by XOR-ing its halves.
     """
-    want = 4 * max(1, int(rule.most_apart(2 * len(s))))
+    want = 16 * max(1, int(rule.most_apart(2 * len(s))))
     bits = 64 << max(0, (want - 1).bit_length() - 6)
     odd = np.bincount((shingles.mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -265,9 +268,11 @@ def _words(rows: list[bytes], bits: int) -> np.ndarray:
     return out
 
 
-def _cells(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], rule: Rule, best: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs within the bounds and of different components, from rows sorted by cell.
 
+    With ``best`` only the so many nearest of each class outside the largest component are told.
+
     A cell has about ``CELL`` rows of either side at most. Columns: key, i, j, c, n, component, sketch,
     straggler (whether the row stands for the side outside the block's largest component).
     """
@@ -286,7 +291,10 @@ def _cells(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordB
             sized = (np.minimum(n, row[1]) * rule.den >= np.maximum(n, row[1]) * rule.num) & (comp != row[2])
             if not sized.any():
                 continue
-            near = np.bitwise_count(ms[sized] ^ w).sum(1) <= most[sized]
+            apart = np.bitwise_count(ms[sized] ^ w).sum(1).astype(np.int64)
+            near = np.flatnonzero(apart <= most[sized])
+            if best is not None:
+                near = near[np.argsort(apart[near], kind="stable")[:best]]
             for y in c[sized][near]:
                 xs.append(min(row[0], int(y)))
                 ys.append(max(row[0], int(y)))
@@ -332,8 +340,23 @@ def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, doc_id: s
     links = verify(rows, classes, pairs, rule)
     found = stored(components(links), "parity-components")
 
-    # blocks whose classes don't all hang together yet
     members = met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("c"))
+    for best in (NEAREST, None):
+        more = _between(members, found, sketches, rule, n, best).join(pairs, ["a", "b"], "left_anti")
+        more = stored(more, "parity-more")
+        pairs, links = pairs.unionByName(more), links.unionByName(verify(rows, classes, more, rule))
+        found = stored(components(links), "parity-components")
+
+    named = found.withColumnRenamed("node", "c").join(classes.select("c", "rep"), "c").select("c", "component", "rep")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = stored(named.join(least, "component").select("c", "least"), "parity-named")
+    named = classes.select("c", "rep").join(named, "c", "left").select("c", F.coalesce("least", "rep").alias("least"))
+    out = sets.select("doc_id", "n", "c").join(named, "c", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _between(members: DataFrame, found: DataFrame, sketches: DataFrame, rule: Rule, n: int, best: int | None) -> DataFrame:
+    """Pairs that could link two components, from the blocks whose classes don't all hang together."""
     placed = members.join(found.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
     placed = stored(placed, "parity-members")
     per = placed.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum(F.xxhash64("c").cast("decimal(30,0)")).alias("who"))
@@ -345,16 +368,7 @@ def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, doc_id: s
     left = asked.where("component != main").select("key", F.pmod("r", "is").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("js") - 1)).alias("j"), "c", "n", "component", "sketch", F.lit(True).alias("straggler"))
     right = asked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("is") - 1)).alias("i"), F.pmod("r", "js").alias("j"), "c", "n", "component", "sketch", F.lit(False).alias("straggler"))
     cells = left.unionByName(right).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cells.mapInArrow(lambda x: _cells(x, rule), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(rows, classes, stored(more, "parity-more"), rule))
-    found = components(links)
-
-    named = found.withColumnRenamed("node", "c").join(classes.select("c", "rep"), "c").select("c", "component", "rep")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = stored(named.join(least, "component").select("c", "least"), "parity-named")
-    named = classes.select("c", "rep").join(named, "c", "left").select("c", F.coalesce("least", "rep").alias("least"))
-    out = sets.select("doc_id", "n", "c").join(named, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return cells.mapInArrow(lambda x: _cells(x, rule, best), "a long, b long").distinct()
 
 
 def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
