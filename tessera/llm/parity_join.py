@@ -1,15 +1,17 @@
 """N-gram Jaccard join by parity sketches.
 
 Texts are sets of word shingles. Two sets link when their Jaccard similarity is at least a fraction
-``num / den``. XOR-ing every shingle's bit into a bit sketch gives a parity sketch, and the Hamming
-distance of two sketches is at most the size of the sets' symmetric difference, which for linked sets
-of sizes a and b is at most ``(a + b) * (den - num) / (den + num)``. So:
+``num / den``. XOR-ing shingles' hashes into a sketch gives a parity sketch, and two sketches differ in
+at most as many places as the sets' symmetric difference has elements, which for linked sets of sizes a
+and b is at most ``(a + b) * (den - num) / (den + num)``. So:
 
 * sizes are cut into bands such that linked sets lie in the same band or in neighbouring ones;
-* for its own band and the next, a set's sketch is cut into more blocks than such a pair can differ
-  in, so at least one block is equal; blocks are the keys of an equality join (pigeonhole);
-* blocks with hardly a bit set say nothing and are left out, as many as the spare blocks allow;
-* candidates pass the sketches' Hamming bound and are then verified on the sets themselves.
+* for its own band and the one below, a set's shingles are dealt to more blocks than such a pair can
+  differ in, each block the XOR of its shingles' 64-bit hashes, so at least one block is equal; blocks
+  are the keys of an equality join (pigeonhole);
+* blocks of one shingle or none say little and are left out, as many as the spare blocks allow;
+* candidates pass the bound on the Hamming distance of one-bit parity sketches and are then verified
+  on the sets themselves.
 
 Equal sets are one class throughout, so copies cost nothing. What is asked for is which texts hang
 together; a pair of classes that is known to hang together already need not be verified. Blocks that
@@ -61,8 +63,12 @@ class Rule:
         return total * (self.den - self.num) // (self.den + self.num)
 
     def blocks(self, level: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of blocks at each level, and how many of these may be left out."""
-        apart = self.most_apart(2 * (low[level + 1] - 1))
+        """Number of blocks at each level, and how many of these may be left out.
+
+        At a level the sets of its band meet one another and those of the band above.
+        """
+        high = low[level + 1] - 1
+        apart = self.most_apart(high + high * self.den // self.num)
         spare = (apart + 1) * 5 * (self.den - self.num) // (2 * (self.den + self.num)) + 1
         return np.where(apart > 0, apart + 1 + spare, 0), spare
 
@@ -89,32 +95,35 @@ def sketch(s: np.ndarray, rule: Rule) -> bytes:
 
 
 def keys(sets: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
-    """For each set the keys of its blocks, at the level of its band and at the next."""
+    """For each set the keys of its blocks, at the level of its band and at the one below."""
     out = [[] for _ in sets]
     sizes = np.array([len(s) for s in sets], np.int64)
     used = np.flatnonzero(sizes > 0)
     if not len(used):
         return [np.empty(0, np.int64) for _ in sets]
-    low = rule.bands(int(sizes.max()))
-    rule.bands(int(low[-1]) + 1)
-    low = rule.bands(int(low[-1]) + 1)
+    low = rule.bands(int(sizes.max()) + 1)
     everything = np.concatenate([sets[i] for i in used])
     owner = np.repeat(np.arange(len(used)), sizes[used])
-    places, bits = everything, (shingles.mix(everything ^ np.uint64(0x14057B7EF767814F)) >> np.uint64(58)).astype(np.int64)
-    for step in (0, 1):
-        level = np.searchsorted(low, sizes[used], "right") - 1 + step
-        count, spare = rule.blocks(level, low)
+    hashes = shingles.mix(everything ^ np.uint64(0x14057B7EF767814F))
+    band = np.searchsorted(low, sizes[used], "right") - 1
+    for level in (band, band - 1):
+        count, spare = rule.blocks(np.maximum(level, 0), low)
+        count = np.where(level >= 0, count, 0)
         first = np.concatenate([[0], np.cumsum(count)])
         live = count[owner] > 0
-        block = first[owner[live]] + (places[live] % np.maximum(count, 1)[owner[live]].astype(np.uint64)).astype(np.int64)
-        odd = (np.bincount(block * 64 + bits[live], minlength=int(first[-1]) * 64) & 1).astype(np.uint8).reshape(-1, 64)
-        weight = odd.sum(1)
-        value = np.packbits(odd, axis=1, bitorder="little").view("<u8").reshape(-1)
+        block = first[owner[live]] + (everything[live] % count[owner[live]].astype(np.uint64)).astype(np.int64)
+        weight = np.bincount(block, minlength=int(first[-1]))
+        order = np.argsort(block)
+        value = np.zeros(int(first[-1]), np.uint64)
+        there = np.flatnonzero(weight)
+        if len(there):
+            value[there] = np.bitwise_xor.reduceat(hashes[live][order], (np.cumsum(weight) - weight)[there])
         of = np.repeat(np.arange(len(used)), count)
         number = (np.arange(len(of)) - first[of]).astype(np.uint64) + (level[of].astype(np.uint64) << np.uint64(32))
         key = shingles.mix(value ^ shingles.mix(number)).view(np.int64)
+        # equal blocks hold the same shingles, so both sets of a pair leave out the same ones
         light = weight <= 1
-        few = np.bincount(of, weights=light, minlength=len(used)) <= spare  # these leave their light blocks out
+        few = np.bincount(of, weights=light, minlength=len(used)) <= spare
         kept = ~(light & few[of])
         for k, part in zip(used, np.split(key[kept], np.searchsorted(of[kept], np.arange(1, len(used)))), strict=True):
             out[k].append(part)
