@@ -75,23 +75,29 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     The text ends each segment with a number of its own, so all suffixes differ in the end.
     """
     n = len(text)
+    bits = max(1, (n + 1).bit_length())
     base = int(text.max()) + 2
     key = np.zeros(n, np.int64)
     for j in range(4):
         key = key * base
         key[: n - j] += text[j:].astype(np.int64) + 1
+    order = np.argsort(key)
+    ordered = key[order]
     k, ranks = 4, {}
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
         rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.int32)
         ranks[k] = rank
-        top = int(rank[order[-1]])
-        if top == n - 1:
+        if int(rank[order[-1]]) == n - 1:
             return order, ranks
-        key = rank.astype(np.int64) * (top + 2)
+        key = rank.astype(np.int64) << bits
         key[: n - k] += rank[k:] + 1
+        if 3 * bits <= 63:  # with the place in the low bits a plain sort does, which is the fastest
+            packed = np.sort(key << bits | np.arange(n))
+            order, ordered = packed & ((1 << bits) - 1), packed >> bits
+        else:
+            order = np.argsort(key)
+            ordered = key[order]
         k *= 2
 
 
@@ -232,10 +238,22 @@ def _split(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterat
 def _indexed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows of the segments, from rows sorted by group and content; an index for some groups each."""
 
+    copies: list[tuple[bytes, list]] = []
+
+    def settle(own: dict, rows: dict) -> int:
+        """A group goes to the index; one whose segments are all equal is repeated as a whole already."""
+        if len(own) == 1 and sum(x[3] for x in next(iter(own.values()))) > 1:
+            copies.append((next(iter(own))[1], next(iter(own.values()))))
+            return len(copies[-1][0]) // 8
+        rows.update(own)
+        return sum(len(k[1]) for k in own)
+
     def flush(rows: dict) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
         bodies = [k[1] for k in rows]
-        for marks, body, owners in zip(repeated(bodies, length), bodies, rows.values(), strict=True):
+        marked = [*zip(repeated(bodies, length) if bodies else [], bodies, rows.values(), strict=True), *((None, *c) for c in copies)]
+        copies.clear()
+        for marks, body, owners in marked:
             if sum(x[3] for x in owners) > 1:
                 marks = np.ones(len(body) - length + 1, bool)
             a, b = _runs(marks)
@@ -245,18 +263,19 @@ def _indexed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())], strict=True)], ["h", "part", "a", "b"])
 
     rows: dict[tuple[int, bytes], list] = {}
+    own: dict[tuple[int, bytes], list] = {}
     group, held = None, 0
     for batch in batches:
         for g, h, part, off, n, _, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if g != group and held > INDEX_BYTES:
-                yield from flush(rows)
-                rows, held = {}, 0
-            group = g
-            if (g, body) not in rows:
-                rows[g, body] = []
-                held += len(body)
-            rows[g, body].append((h, part, off, n))
-    if rows:
+            if g != group:
+                held += settle(own, rows)
+                own, group = {}, g
+                if held > INDEX_BYTES:
+                    yield from flush(rows)
+                    rows, held = {}, 0
+            own.setdefault((g, body), []).append((h, part, off, n))
+    settle(own, rows)
+    if rows or copies:
         yield from flush(rows)
 
 
