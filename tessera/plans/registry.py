@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera import schema
+from tessera.operators import pipeline, policy
+from tessera.operators import redact as redaction
+from tessera.plans import oracles, queries
+
+QUERIES = queries.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Detect all nine kinds in every document, approve by confidence, mask: ``doc_id, n_spans, redacted``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    done = redaction.redact(policy.approved(pipeline.with_entities(docs, schema.TYPES), {}))
+    return done.selectExpr("doc_id", "size(plan) as n_spans", "redacted")
