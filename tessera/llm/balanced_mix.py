@@ -21,7 +21,7 @@ from tessera.llm.common import WORD, small, stored
 #: Documents that one task balances at a time.
 BLOCK = 2048
 #: Documents that are decided anew with the undecided two at the very end of a source.
-LANDING = 10
+LANDING = 12
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -79,7 +79,7 @@ def flight(p: list[float], sizes: list[int], rng: random.Random) -> list[float]:
 
 
 def land(p: list[float], sizes: list[int], words: float, number: float) -> list[float]:
-    """Decides what the flight has left, along with the last ``LANDING`` entries before it.
+    """Decides what the flight has left, along with ``LANDING`` entries of sizes as different as can be.
 
     Of all ways to decide these few, the one whose total of sizes is nearest to ``words`` is taken, and
     among such the one whose number is nearest to ``number``.
@@ -87,9 +87,15 @@ def land(p: list[float], sizes: list[int], words: float, number: float) -> list[
     live = [i for i, x in enumerate(p) if 0 < x < 1]
     if not live:
         return p
-    free = sorted({*live, *range(max(0, len(p) - LANDING), len(p))})
+    by: dict[int, list[int]] = {}
+    for i, x in enumerate(sizes):
+        by.setdefault(x, []).append(i)
+    kinds = sorted(by)
+    kinds = [kinds[k * len(kinds) // LANDING] for k in range(LANDING)] if len(kinds) > LANDING else kinds
+    turns = [by[x][n] for n in range(LANDING) for x in kinds if n < len(by[x])]
+    free = sorted({*live, *turns[:LANDING]})
     ways = (np.arange(1 << len(free))[:, None] >> np.arange(len(free))) & 1
-    kept = [i for i in range(len(p)) if i not in set(free)]
+    kept = sorted(set(range(len(p))) - set(free))
     off_words = np.abs(ways @ np.array([sizes[i] for i in free]) + sum(p[i] * sizes[i] for i in kept) - words)
     off_number = np.abs(ways.sum(1) + sum(p[i] for i in kept) - number)
     best = np.lexsort((np.arange(len(ways)), off_number, off_words))[0]

@@ -51,7 +51,7 @@ def shards(docs: DataFrame, count: int | None = None, target_bytes: int | None =
         F.lit(0).alias("node"),
     )
     rows = stored(rows, "shard-rows")
-    group = rows.groupBy("h").agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(d)])
+    group = stored(rows.groupBy("h").agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(d)]), "shard-groups")
     rows = stored(rows.drop(*[f"d{i}" for i in range(d)]).join(group, "h"), "shard-rows")
     total = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
     count = count or max(1, -(-total // target_bytes))

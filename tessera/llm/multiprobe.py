@@ -125,6 +125,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
+def _told(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    kinds = (np.int64, np.int64, np.float64)
+    return pd.DataFrame({n: np.concatenate([f[k] for f in found]) if found else np.empty(0, kinds[k]) for k, n in enumerate(("q", "c", "score"))})
+
+
 def clean(vectors: Column) -> Column:
     """Whether a vector takes part: no null or non-finite component, and not all zero."""
     fine = F.forall(vectors, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -155,7 +160,7 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
     entries = stored(entries.withColumn("c", F.col("ids")[0]), "vector-entries")  # c, the least id, names the entry
     total = entries.count()
     sample = entries.orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("v").collect()
-    model = fit(np.array([r["v"] for r in sample], float).reshape(len(sample), -1), max(total, 1), k, seed)
+    model = fit(np.array([r["v"] for r in sample] or np.empty((0, 1)), float), max(total, 1), k, seed)
     groups = max(1, -(-total // ENTRIES))
     target = 1 - (1 - TARGET) ** (1 / TABLES)
 
@@ -173,24 +178,23 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
     def probes(batches):
         for pdf in batches:
             if len(pdf):
-                place = model.projections(_matrix(pdf["v"]))
+                place, rows = model.projections(_matrix(pdf["v"])), []
                 for t in range(TABLES):
                     for c, v, p in zip(pdf["c"], pdf["v"], place[t], strict=True):
                         at = codes(sequence(p, target))
                         g = at % groups
-                        for x in np.unique(g):
-                            yield pd.DataFrame({"t": [t], "g": [x], "q": [c], "v": [v], "codes": [at[g == x]]})
+                        rows += [(t, x, c, v, at[g == x]) for x in np.unique(g).tolist()]
+                yield pd.DataFrame(rows, columns=["t", "g", "q", "v", "codes"])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(left) and len(right):
-            left = left.sort_values("code", kind="stable")
             code, c, v = left["code"].to_numpy(), left["c"].to_numpy(), _matrix(left["v"])
             for q, query, wanted in zip(right["q"], right["v"], right["codes"], strict=True):
                 visited = np.isin(code, np.asarray(wanted))
                 ids, d = _nearest(v[visited], c[visited], np.asarray(query, float), k + 1)
-                out.append(pd.DataFrame({"q": q, "c": ids, "score": d}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64"})
+                found.append((np.full(len(ids), q), ids, d))
+        return _told(found)
 
     # the vectors' part of a table is dealt by bucket, a query goes where its buckets are
     indexed = entries.select("c", "v").mapInPandas(index, "t int, g long, code long, c long, v array<double>")
@@ -208,10 +212,10 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
 
         def rank_all(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64"})
+                return _told([])
             c, v = left["c"].to_numpy(), _matrix(left["v"])
             best = [(q, *_nearest(v, c, np.asarray(x, float), k + 1)) for q, x in zip(right["q"], right["v"], strict=True)]
-            return pd.concat([pd.DataFrame({"q": q, "c": ids, "score": d}) for q, ids, d in best])
+            return _told([(np.full(len(ids), q), ids, d) for q, ids, d in best])
 
         more = all_.groupBy("g").cogroup(everywhere.groupBy("g")).applyInPandas(rank_all, "q long, c long, score double")
         found = found.unionByName(more).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import balanced_mix, best_fit, compression_classifier, fingerprints, kd_shards, multiprobe, parity_join, run_index, secrets, token_files
 from tessera.llm.common import read
+from tessera.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +90,4 @@ QUERIES = {
         op10_compression_quality,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+

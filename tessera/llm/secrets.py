@@ -136,5 +136,6 @@ def without_live(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     found = stored(found.where(F.size("_spans") > 0).dropDuplicates(["_id", "_h"]), "secret-live")
     body = F.coalesce(F.col(text), F.lit(""))
     joined = docs.join(small(found), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_h")), "left")
-    masked_text = F.when(F.col("_spans").isNotNull(), masked(body, F.col("_spans"))).otherwise(F.col(text))
-    return joined.withColumns({n_chars: F.when(F.col("_spans").isNotNull(), F.length(masked(body, F.col("_spans"))).cast("long")).otherwise(F.col(n_chars)), text: masked_text}).select(docs.columns)
+    joined = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), masked(body, F.col("_spans"))))
+    own = {text: F.coalesce(F.col("_new"), F.col(text)), n_chars: F.coalesce(F.length("_new").cast("long"), F.col(n_chars))}
+    return joined.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
