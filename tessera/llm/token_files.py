@@ -11,11 +11,14 @@ Layout (little-endian): packed blocks; for each document its id (int64), whether
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,13 @@ from tessera.llm.common import shared_dir, shuffle_partitions, stored
 BLOCK = 1 << 16
 MAGIC = b"TSBITS01"
 FOOTER = struct.Struct("<8sIIQQQQ")  # magic, bits, ids a block, ids, documents, place of documents, place of offsets
-#: Pieces of text whose ids a worker remembers at most.
-REMEMBERED = 400_000
-#: Between these characters no token of a byte-level pre-tokenizer ever lies, so texts can be cut here:
-#: before a single space or line end among words, and between an ASCII letter and punctuation.
-CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z])(?=[.,;:!?|*#%&$])")
+#: Pieces of text whose ids a worker remembers at most (in two halves, the older of which goes first).
+REMEMBERED = 2_000_000
+#: Texts that are encoded together.
+TOGETHER = 64
+#: No token of a byte-level pre-tokenizer lies across these places, so texts can be cut there: before a
+#: single space or line end between characters that are no white space.
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -146,6 +151,7 @@ class Encoder:
     """Encodes whole texts; remembers the ids of the pieces between places where no token can lie."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -156,24 +162,65 @@ class Encoder:
         before = told["pre_tokenizer"] or {}
         self.in_pieces = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            data = self.end
-        elif not self.in_pieces:
-            data = self._encode([text])[0] + self.end
-        else:
-            pieces = CUT.split(text)
-            if new := list({p for p in pieces if p not in self.known}):
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = list(set(pieces))
-                self.known.update(zip(new, self._encode(new), strict=True))
-            data = b"".join(map(self.known.__getitem__, pieces)) + self.end
-        return np.frombuffer(data, "<u4")
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of the keys that aren't known; those of safe keys are remembered.
+
+        A key is a piece without the space before it; one without such a space starts with a line end
+        or, at a text's start, with a zero. It is safe if, but for that, it neither starts nor ends with
+        white space, for then texts may be cut before and after it.
+        """
+        new = keys.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+            new = keys
+        if self.older:
+            again = {k: self.older[k] for k in new if k in self.older}
+            self.known.update(again)
+            new = new.difference(again)
+        first = list(new)
+        if not first:
+            return {}
+        found = dict(zip(first, self._encode([" " + k if k[:1] not in ("\0", "\n") else k.lstrip("\0") for k in first]), strict=True))
+        unsafe = {k: ids for k, ids in found.items() if not (body := k.lstrip("\0").removeprefix("\n")) or body[0].isspace() or body[-1].isspace()}
+        for k in unsafe:
+            del found[k]
+        self.known.update(found)
+        return unsafe
+
+    def _whole(self, text: str) -> bytes:
+        """A text with places that can't be cut: pieces between those that can, or all of it at once."""
+        if not text or not self.in_pieces or "\0" in text or text[0] in " \n":  # here a key would leave out the wrong thing
+            return self._encode([text])[0] if text else b""
+        keys = [p[1:] if p[0] == " " else p if p[0] == "\n" else "\0" + p for p in CUT.split(text)]
+        unsafe = self._learn(set(keys))
+        return b"".join(unsafe[k] if k in unsafe else self.known[k] for k in keys)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, the end id included; what is new in all of them is encoded at once."""
+        pieces = [t.replace("\n", " \n").split(" ") if t and self.in_pieces and "\0" not in t else None for t in texts]
+        for keys in pieces:
+            if keys is not None:
+                keys[0] = "\0" + keys[0]
+        self._learn(set().union(*[k for k in pieces if k is not None]))
+        out = []
+        for text, keys in zip(texts, pieces, strict=True):
+            try:
+                data = b"".join(map(self.known.__getitem__, keys)) if keys is not None else self._whole(text)
+            except KeyError:
+                data = self._whole(text)
+            out.append(np.frombuffer(data + self.end, "<u4"))
+        return out
+
+
+@functools.cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """A worker's own; it outlives its tasks."""
+    return Encoder(path, end_id)
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -191,17 +238,19 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_
     into = folder or f"{shared_dir(spark)}/tessera/tokens-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, uri = Encoder(tokenizer_path, end_id), None, None
+        encode, out, uri = encoder(tokenizer_path, end_id), None, None
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for k in range(batch.num_rows):
+            for at in range(0, batch.num_rows, TOGETHER):
                 if out is None:
                     fs, path = pyarrow.fs.FileSystem.from_uri(into)
                     fs.create_dir(path, recursive=True)
                     name = f"part-{part:06d}-{uuid.uuid4().hex}.tokens"
                     uri = f"{into}/{name}"
-                    out = Writer(fs.open_output_stream(f"{path}/{name}"), bits_for(encoder.vocabulary))
-                out.add(batch.column(0)[k].as_py(), encoder(batch.column(1)[k].as_py()))
+                    out = Writer(fs.open_output_stream(f"{path}/{name}"), bits_for(encode.vocabulary))
+                some = batch.slice(at, TOGETHER)
+                for name, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                    out.add(name, ids)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [len(out.ids)], "n_tokens": [out.n]})
