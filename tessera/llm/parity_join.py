@@ -9,7 +9,9 @@ and b is at most ``(a + b) * (den - num) / (den + num)``. So:
 * for its own band and the one below, a set's shingles are dealt to more blocks than such a pair can
   differ in, each block the XOR of its shingles' 64-bit hashes, so at least one block is equal; blocks
   are the keys of an equality join (pigeonhole);
-* blocks of one shingle or none say little and are left out, as many as the spare blocks allow;
+* there are spare blocks: a set leaves out so many of those with one shingle or none, and of the rest
+  so many of those that stand in most sets. Equal blocks come at the same place in both sets' orders,
+  so what is left out of either is no more than the spare, and one equal block stays in both;
 * candidates pass the bound on the Hamming distance of one-bit parity sketches and are then verified
   on the sets themselves.
 
@@ -28,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
@@ -37,6 +39,8 @@ from tessera.llm.components import components
 
 #: Classes of a block up to which all pairs are candidates at once; classes on a side of a cell.
 FEW, CELL = 4, 1024
+#: Classes up to which the size of a block is told apart.
+HOLD = 64
 #: Partners that a class outside a block's largest component tries first in a cell.
 NEAREST = 2
 
@@ -62,15 +66,25 @@ class Rule:
         """The largest symmetric difference of linked sets with ``total`` elements together."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def blocks(self, level: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of blocks at each level, and how many of these may be left out.
+    def blocks(self, level: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of blocks at each level, and how many light and how many common ones may be left out.
 
         At a level the sets of its band meet one another and those of the band above.
         """
         high = low[level + 1] - 1
         apart = self.most_apart(high + high * self.den // self.num)
-        spare = (apart + 1) * 5 * (self.den - self.num) // (2 * (self.den + self.num)) + 1
-        return np.where(apart > 0, apart + 1 + spare, 0), spare
+        light = 18 * (apart + 1) * (self.den - self.num) ** 2 // (self.den + self.num) ** 2 + 1
+        common = 2 * (apart + 1) * (self.den - self.num) // (self.den + self.num) + 1
+        return np.where(apart > 0, apart + 1 + light + common, 0), light, common
+
+    def quotas(self, sizes: np.ndarray) -> np.ndarray:
+        """How many common blocks a set may leave out at its level of even and of odd number."""
+        low = self.bands(int(sizes.max(initial=0)) + 1)
+        band = np.searchsorted(low, sizes, "right") - 1
+        out = np.zeros((len(sizes), 2), np.int64)
+        for level in (band, band - 1):
+            out[np.arange(len(sizes)), level % 2] = self.blocks(np.maximum(level, 0), low)[2]
+        return out
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -79,16 +93,16 @@ class Rule:
 
 def class_of(s: np.ndarray) -> int:
     """A 64-bit hash of the set; sets are equal where it is (as shingles are where their hashes are)."""
-    h = shingles.mix(s).sum(dtype=np.uint64) + shingles.mix(np.array([len(s)], np.uint64))[0]
-    return int(shingles.mix(np.array([h], np.uint64)).view(np.int64)[0])
+    h = shingles.mix(s).sum(dtype=np.uint64, keepdims=True) + shingles.mix(np.array([len(s)], np.uint64))
+    return int(shingles.mix(h).view(np.int64)[0])
 
 
 def sketch(s: np.ndarray, rule: Rule) -> bytes:
-    """Parity sketch of a power of two bits, sixteen times the largest distance of interest or more.
+    """Parity sketch of a power of two bits, eight times the largest distance of interest or more.
 
     A larger sketch folds into a smaller one by XOR-ing its halves.
     """
-    want = 16 * max(1, int(rule.most_apart(2 * len(s))))
+    want = 8 * max(1, int(rule.most_apart(2 * len(s))))
     bits = 64 << max(0, (want - 1).bit_length() - 6)
     odd = np.bincount((shingles.mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -107,7 +121,7 @@ def keys(sets: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
     hashes = shingles.mix(everything ^ np.uint64(0x14057B7EF767814F))
     band = np.searchsorted(low, sizes[used], "right") - 1
     for level in (band, band - 1):
-        count, spare = rule.blocks(np.maximum(level, 0), low)
+        count, spare, _ = rule.blocks(np.maximum(level, 0), low)
         count = np.where(level >= 0, count, 0)
         first = np.concatenate([[0], np.cumsum(count)])
         live = count[owner] > 0
@@ -120,11 +134,15 @@ def keys(sets: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
             value[there] = np.bitwise_xor.reduceat(hashes[live][order], (np.cumsum(weight) - weight)[there])
         of = np.repeat(np.arange(len(used)), count)
         number = (np.arange(len(of)) - first[of]).astype(np.uint64) + (level[of].astype(np.uint64) << np.uint64(32))
-        key = shingles.mix(value ^ shingles.mix(number)).view(np.int64)
-        # equal blocks hold the same shingles, so both sets of a pair leave out the same ones
-        light = weight <= 1
-        few = np.bincount(of, weights=light, minlength=len(used)) <= spare
-        kept = ~(light & few[of])
+        key = shingles.mix(value ^ shingles.mix(number)) & ~np.uint64(1) | level[of].astype(np.uint64) & np.uint64(1)
+        key = key.view(np.int64)
+        # equal blocks hold the same shingles: both sets of a pair leave out light ones in the same order
+        kept = np.ones(len(key), bool)
+        light = np.flatnonzero(weight <= 1)
+        if len(light):
+            light = light[np.lexsort((key[light], of[light]))]
+            starts = np.searchsorted(of[light], np.arange(len(used)))
+            kept[light[np.arange(len(light)) - starts[of[light]] < spare[of[light]]]] = False
         for k, part in zip(used, np.split(key[kept], np.searchsorted(of[kept], np.arange(1, len(used)))), strict=True):
             out[k].append(part)
     return [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
@@ -136,7 +154,9 @@ def _classes(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Recor
         for sets in shingles.of_column(batch.column(1), rule.size):
             n = np.array([len(s) for s in sets], np.int64)
             c = [class_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(n), pa.array(c, pa.int64()), pa.array([sketch(s, rule) for s in sets], pa.binary())], ["doc_id", "n", "c", "sketch"])
+            quota = rule.quotas(n)
+            columns = [batch.column(0).slice(at, len(sets)), pa.array(n), pa.array(c, pa.int64()), pa.array([sketch(s, rule) for s in sets], pa.binary()), pa.array(quota[:, 0]), pa.array(quota[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "c", "sketch", "even", "odd"])
             at += len(sets)
 
 
@@ -158,68 +178,56 @@ def _keys(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(names, np.int64), [len(x) for x in found]))], ["key", "c"])
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key, what meets: pairs of classes (kind 0) and members of larger blocks (kind 1).
+def _stretches(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """From rows sorted by key: keys, classes and block sizes, each class of a block once.
 
-    At most ``FEW`` rows of an unfinished block are held; a hot block passes through.
+    A block of at most ``hold`` classes comes in one piece. A larger one may come in several, with size
+    ``hold + 1``; each piece then starts with the last row of the one before, which the last value tells.
+    So no more than ``hold`` rows of a block are kept, however hot it is.
     """
-    held_key, held, count = None, np.empty(0, np.int64), 0  # of the last block: key, its last rows, rows so far
+    key, held, large = np.int64(0), np.empty(0, np.int64), False
     for batch in batches:
         k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(k):
             continue
+        again = large
+        k, c = np.concatenate([np.repeat(key, len(held)), k]), np.concatenate([held, c])
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        if held_key is not None and k[0] == held_key and len(held) and c[0] == held[-1]:
-            new[0] = False
-            same = (k == held_key) & (c == held[-1])
-            new[: int(np.argmin(same)) if not same.all() else len(k)] = False
         k, c = k[new], c[new]
-        if not len(k):
-            continue
-        if held_key is not None:
-            if k[0] == held_key:
-                back = len(held)
-            else:
-                yield from _told(np.repeat(held_key, len(held)), held, np.arange(count - len(held), count), np.full(len(held), count))
-                back = 0
-            before = count - back if back else 0
-            k, c = np.concatenate([np.repeat(np.int64(held_key), back), k]), np.concatenate([held[len(held) - back :], c])
-        else:
-            before, back = 0, 0
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        lengths = np.diff(np.append(starts, len(k)))
-        place = np.arange(len(k)) - np.repeat(starts, lengths)
-        place[: lengths[0]] += before
-        total = lengths.copy()
-        total[0] += before
-        last = starts[-1]
-        keep = min(FEW, len(k) - last)  # held back: the end of a block that may go on
-        held_key, held, count = int(k[-1]), c[len(c) - keep :], int(total[-1])
-        out = len(k) - keep
-        yield from _told(k[:out], c[:out], place[:out], np.repeat(total, lengths)[:out], c[out : out + 1] if total[-1] > FEW else None)
-    if held_key is not None:
-        yield from _told(np.repeat(held_key, len(held)), held, np.arange(count - len(held), count), np.full(len(held), count))
-
-
-def _told(k: np.ndarray, c: np.ndarray, place: np.ndarray, total: np.ndarray, after: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """``place`` in the block and ``total`` so far of each row; a block of up to FEW rows is here as a whole."""
-    kinds, xs, ys = [], [], []
-
-    def tell(kind: int, x: np.ndarray, y: np.ndarray) -> None:
-        kinds.append(np.full(len(x), kind, np.int8))
-        xs.append(x)
-        ys.append(y)
-
-    for gap in range(1, FEW):
-        if len(k) > gap:
-            both = (k[gap:] == k[:-gap]) & ((total[gap:] <= FEW) | (gap == 1))
-            tell(0, np.minimum(c[gap:], c[:-gap])[both], np.maximum(c[gap:], c[:-gap])[both])
-    if after is not None and len(c) and len(after):
-        tell(0, np.minimum(c[-1:], after), np.maximum(c[-1:], after))
-    large = total > FEW
-    tell(1, k[large], c[large])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["kind", "x", "y"])
+        sizes = np.diff(np.append(starts, len(k)))
+        total = np.minimum(sizes, hold + 1)
+        if again:
+            total[0] = hold + 1
+        large = bool(total[-1] > hold)
+        out = len(k) if large else int(starts[-1])  # a block that is small as yet may go on
+        key, held = k[-1], c[-1:] if large else c[out:]
+        if out:
+            yield k[:out], c[:out], np.repeat(total, sizes)[:out], again
+    if len(held) and not large:
+        yield np.repeat(key, len(held)), held, np.full(len(held), len(held)), False
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks that two classes share or more, with the block's size as far as ``HOLD``."""
+    for k, c, m, again in _stretches(batches, HOLD):
+        told = m > 1
+        told[0] &= not again
+        yield pa.RecordBatch.from_arrays([pa.array(k[told]), pa.array(c[told]), pa.array(m[told].astype(np.int32))], ["key", "c", "m"])
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that meet in a block: all of a small one, neighbours of a larger one."""
+    for k, c, m, _ in _stretches(batches, FEW):
+        xs, ys = [], []
+        for gap in range(1, FEW):
+            if len(k) > gap:
+                both = (k[gap:] == k[:-gap]) & ((m[gap:] <= FEW) | (gap == 1))
+                xs.append(np.minimum(c[gap:], c[:-gap])[both])
+                ys.append(np.maximum(c[gap:], c[:-gap])[both])
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["a", "b"])
 
 
 def _near(a: bytes, b: bytes) -> int:
@@ -334,25 +342,36 @@ def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, doc_id: s
     spark, rule = docs.sparkSession, Rule(size, num, den)
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = stored(rows.mapInArrow(lambda x: _classes(x, rule), "doc_id long, n long, c long, sketch binary"), "parity-sets")
-    classes = stored(sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "parity-classes")
+    sets = stored(rows.mapInArrow(lambda x: _classes(x, rule), "doc_id long, n long, c long, sketch binary, even long, odd long"), "parity-sets")
+    same = [F.min(x).alias(x) for x in ("n", "sketch", "even", "odd")]
+    classes = stored(sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), *same), "parity-classes")
 
     told = rows.select("text").mapInArrow(lambda x: _keys(x, rule), "key long, c long")
-    dealt = told.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("c", "key"), "c")
-    met = stored(dealt.mapInArrow(_meetings, "kind byte, x long, y long"), "parity-meetings")
+    in_blocks = [F.col("key"), F.xxhash64("c", "key"), F.col("c")]
+    shared = told.repartition(n, "key").sortWithinPartitions(*in_blocks).mapInArrow(_members, "key long, c long, m int")
+    # of a class's blocks at one level those in most classes are left out, as many as may be
+    level = F.pmod("key", F.lit(2))
+    common = F.row_number().over(Window.partitionBy("c", level).orderBy(F.col("m").desc(), "key"))
+    ranked = stored(shared, "parity-shared").join(classes.select("c", "even", "odd"), "c").withColumn("rank", common)
+    members = stored(ranked.where(F.col("rank") > F.when(level == 0, F.col("even")).otherwise(F.col("odd"))).select("key", "c"), "parity-members")
 
     sketches = classes.select("c", "n", "sketch")
-    first = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    met = members.repartition(n, "key").sortWithinPartitions(*in_blocks).mapInArrow(_meetings, "a long, b long")
+    first = met.distinct()
     with_a = first.join(sketches.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     with_b = with_a.join(sketches.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     pairs = stored(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: _passing(x, rule), "a long, b long"), "parity-pairs")
     links = verify(rows, classes, pairs, rule)
     found = stored(components(links), "parity-components")
 
-    members = met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("c"))
+    # blocks whose classes don't all hang together yet; in those of a few classes all pairs have met
+    large = members.groupBy("key").count().where(F.col("count") > FEW).select("key")
+    members = stored(members.join(large, "key"), "parity-members")
     for best in (NEAREST, None):
         more = _between(members, found, sketches, rule, n, best).join(pairs, ["a", "b"], "left_anti")
         more = stored(more, "parity-more")
+        if more.isEmpty():
+            continue
         pairs, links = pairs.unionByName(more), links.unionByName(verify(rows, classes, more, rule))
         found = stored(components(links), "parity-components")
 
