@@ -5,7 +5,8 @@ dimension (its range there as a part of the whole table's range), weighted by by
 holds its share of the bytes. Medians are exact and distributed: bytes are summed in bins of the
 dimension, the bin that holds the median is binned again, and so on; only one bin a node reaches the
 driver. Equal texts share the least of their metadata, and within equal values rows are ordered by
-their text's hash, then by id, so equal texts stay together wherever a cut can pass beside them.
+their text's hash, then by id. A large group of equal texts in whose middle a cut would fall goes to
+the end or the start of its value's order, so equal texts stay together wherever that is possible.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tessera.llm.common import in_ranges, running, stored
 BINS, ALL_BINS = 4096, 1 << 20
 #: A cut moves aside for a group of equal texts by this part of a leaf at most.
 GIVE = 0.02
+#: Groups that are moved out of a cut's way in one node at most.
+MOVED = 16
 
 
 def text_order(column: Column) -> Column:
@@ -36,7 +39,8 @@ def shards(docs: DataFrame, count: int | None = None, target_bytes: int | None =
 
     A null text is empty, a null dimension lies before all others, rows with a null id come first in
     their shard. Equal rows are rows of their own. Other columns play no part. An empty table gives an
-    empty result. A group of equal texts is cut only where it is larger than ``2 * GIVE`` of a leaf.
+    empty result. A group of equal texts is cut only where it is larger than ``2 * GIVE`` of a leaf and than
+    all else of its value that could lie on either side.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     if dimensions is None:
@@ -76,19 +80,19 @@ def _split(rows: DataFrame, leaves: dict[int, int], spans: list[int], leaf: floa
         if leaves[r["node"]] > 1:
             dim = max(range(d), key=lambda i: ((r[f"b{i}"] - r[f"a{i}"]) / spans[i], -i))
             lower = leaves[r["node"]] - leaves[r["node"]] // 2
-            nodes[r["node"]] = {"dim": dim, "stage": 0, "lo": r[f"a{dim}"], "hi": r[f"b{dim}"], "need": r["bytes"] * lower // leaves[r["node"]], "at": [], "done": False}
+            nodes[r["node"]] = {"dim": dim, "stage": 0, "lo": r[f"a{dim}"], "hi": r[f"b{dim}"], "need": r["bytes"] * lower // leaves[r["node"]], "at": [], "up": [], "down": [], "done": False}
 
     value = F.col(f"d{d - 1}")
     for i in range(d - 1):
         value = F.when(F.col("dim") == i, F.col(f"d{i}")).otherwise(value)
-    names = "node int, dim int, stage int, lo long, hi long, width decimal(20,0), need long, c0 long, c1 long"
+    names = "node int, dim int, stage int, lo long, hi long, width decimal(20,0), need long, c0 long, c1 long, moved array<long>"
     while any(not n["done"] for n in nodes.values()):
         open_ = {k: n for k, n in nodes.items() if not n["done"]}
         bins = max(16, min(BINS, ALL_BINS // len(open_)))
-        state = [(k, n["dim"], n["stage"], n["lo"], n["hi"], _decimal(-(-(n["hi"] - n["lo"] + 1) // bins)), n["need"], *[*n["at"], 0, 0][:2]) for k, n in open_.items()]
+        state = [(k, n["dim"], n["stage"], n["lo"], n["hi"], _decimal(-(-(n["hi"] - n["lo"] + 1) // bins)), n["need"], *[*n["at"], 0, 0][:2], n["up"] + n["down"]) for k, n in open_.items()]
         near = rows.join(F.broadcast(spark.createDataFrame(state, names)), "node")
         v = F.when(F.col("stage") == 0, value).when(F.col("stage") == 1, F.col("h")).otherwise(F.coalesce("doc_id", F.lit(-(2**63))))
-        near = near.withColumn("v", v).where("stage = 0 or (case " + " ".join(f"when dim = {i} then d{i}" for i in range(d)) + " end = c0 and (stage = 1 or h = c1))").where("v between lo and hi")
+        near = near.withColumn("v", v).where("stage = 0 or (case " + " ".join(f"when dim = {i} then d{i}" for i in range(d)) + " end = c0 and (stage = 1 and not array_contains(moved, h) or stage = 2 and h = c1))").where("v between lo and hi")
         near = near.withColumn("bin", F.floor((F.col("v").cast("decimal(20,0)") - F.col("lo")) / F.col("width")).cast("long"))
         per = near.groupBy("node", "need", "bin").agg(F.sum("size").alias("bytes"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))  # at most BINS rows a node
@@ -99,22 +103,38 @@ def _split(rows: DataFrame, leaves: dict[int, int], spans: list[int], leaf: floa
             n["lo"], n["hi"] = r["lo"], r["hi"]
             if r["lo"] < r["hi"]:
                 continue
-            n["at"].append(r["lo"])  # the cut's value in this stage; all bytes of that value are r["bytes"]
+            # the cut's value in this stage; r["bytes"] are all bytes of that value
             give = max(0.0, GIVE * leaf) if n["stage"] == 1 else 0
             if n["stage"] == 2 or min(n["need"], r["bytes"] - n["need"]) <= give:
+                n["at"].append(r["lo"])
                 n["done"], n["whole"] = True, n["need"] * 2 <= r["bytes"]  # True: what equals the cut goes up
+                continue
+            if n["stage"] == 1 and len(n["up"] + n["down"]) < MOVED and (n["want"] <= n["all"] - r["bytes"] or n["want"] >= r["bytes"]):
+                n["all"] -= r["bytes"]  # the group moves aside and the value's other texts are searched again
+                if n["want"] <= n["all"]:
+                    n["up"].append(r["lo"])
+                else:
+                    n["down"].append(r["lo"])
+                    n["want"] -= r["bytes"]
+                n["need"] = n["want"]
             else:
+                n["at"].append(r["lo"])
+                if n["stage"] == 0:
+                    n["want"], n["all"] = n["need"], r["bytes"]
                 n["stage"] += 1
-                n["lo"], n["hi"] = -(2**63), 2**63 - 1
+            n["lo"], n["hi"] = -(2**63), 2**63 - 1
+            if n["stage"] == 1 and n["want"] >= n["all"]:  # exactly all that is left lies below
+                n["at"].append(2**63 - 1)
+                n["done"], n["whole"] = True, False
         missing = {r["node"] for r in found} ^ set(open_)
         if missing:
             raise ValueError(f"no cut found for nodes {sorted(missing)[:5]}")
-    cuts = [(k, n["dim"], len(n["at"]), *[*n["at"], 0, 0, 0][:3], n["whole"], k + leaves[k] - leaves[k] // 2) for k, n in nodes.items()]
-    cut = F.broadcast(spark.createDataFrame(cuts, "node int, dim int, depth int, c0 long, c1 long, c2 long, equal_up boolean, upper int"))
+    cuts = [(k, n["dim"], len(n["at"]), *[*n["at"], 0, 0, 0][:3], n["whole"], k + leaves[k] - leaves[k] // 2, n["up"], n["down"]) for k, n in nodes.items()]
+    cut = F.broadcast(spark.createDataFrame(cuts, "node int, dim int, depth int, c0 long, c1 long, c2 long, equal_up boolean, upper int, up array<long>, down array<long>"))
     joined = rows.join(cut, "node", "left")
     ids = F.coalesce("doc_id", F.lit(-(2**63)))
     beyond = F.when(value != F.col("c0"), value > F.col("c0"))
-    beyond = beyond.when(F.col("depth") == 1, F.col("equal_up")).when(F.col("h") != F.col("c1"), F.col("h") > F.col("c1"))
+    beyond = beyond.when(F.col("depth") == 1, F.col("equal_up")).when(F.array_contains("up", F.col("h")), True).when(F.array_contains("down", F.col("h")), False).when(F.col("h") != F.col("c1"), F.col("h") > F.col("c1"))
     beyond = beyond.when(F.col("depth") == 2, F.col("equal_up")).when(ids != F.col("c2"), ids > F.col("c2")).otherwise(F.col("equal_up"))
     node = F.when(F.col("upper").isNotNull() & beyond, F.col("upper")).otherwise(F.col("node"))
     return joined.select(*[c for c in rows.columns if c != "node"], node.alias("node"))

@@ -52,6 +52,15 @@ def test_target_bytes(spark):
     assert len(sizes) == 10 and max(sizes.values()) <= 10_500
 
 
+def test_a_large_group_moves_out_of_the_way(spark):
+    rows = [(k, "the same text for very many rows") if k % 12 == 0 else (k, f"other {k} " + "x" * (k % 40)) for k in range(3000)]
+    got = shards(table(spark, rows), count=8)
+    sizes = check(rows, got, 8)
+    mean = sum(sizes.values()) / 8
+    assert max(sizes.values()) <= 1.06 * mean and min(sizes.values()) >= 0.94 * mean
+    assert len({r["shard"] for r in got if r["doc_id"] % 12 == 0}) == 1
+
+
 def test_one_group_larger_than_a_shard_is_cut(spark):
     rows = [(k, "same") if k % 3 else (k, f"other {k}") for k in range(900)]
     sizes = check(rows, shards(table(spark, rows), count=8), 8)
@@ -77,6 +86,7 @@ def plain_tree(rows, count, spans):
 
 def test_against_a_plain_tree(spark, monkeypatch):
     monkeypatch.setattr(kd, "GIVE", 0.0)
+    monkeypatch.setattr(kd, "MOVED", 0)
     rows = [(k, f"unique {k * k} " + "z" * (k * 7 % 31)) for k in range(300)]
     df = table(spark, rows).withColumns({"a": (F.col("doc_id") * 37) % 101, "b": (F.col("doc_id") * 11) % 17})
     meta = {r["doc_id"]: ((r["a"], r["b"]), r["h"], r["doc_id"], len(r["text"].encode()) + 1) for r in df.withColumn("h", F.xxhash64("text")).collect()}
