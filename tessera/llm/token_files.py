@@ -35,6 +35,7 @@ MAGIC = b"TSBITS01"
 FOOTER = struct.Struct("<8sIIQQQQ")  # magic, bits, ids a block, ids, documents, place of documents, place of offsets
 #: Pieces of text whose ids a worker remembers at most (in two halves, the older of which goes first).
 REMEMBERED = 2_000_000
+MARKS = frozenset(".,;:!?")
 #: Texts that are encoded together.
 TOGETHER = 64
 #: No token of a byte-level pre-tokenizer lies across these places, so texts can be cut there: before a
@@ -185,6 +186,12 @@ class Encoder:
         first = list(new)
         if not first:
             return {}
+        # a mark after an ASCII letter is a token of its own: word and mark are looked up by themselves
+        marked = {k for k in first if k[-1:] in MARKS and (c := k[-2:-1]).isalpha() and c.isascii()}
+        if marked:
+            self._learn({k[:-1] for k in marked} | {"\0" + k[-1] for k in marked})
+            self.known.update({k: self.known[k[:-1]] + self.known["\0" + k[-1]] for k in marked if k[:-1] in self.known})
+            first = [k for k in first if k not in self.known]
         found = dict(zip(first, self._encode([" " + k if k[:1] not in ("\0", "\n") else k.lstrip("\0") for k in first]), strict=True))
         unsafe = {k: ids for k, ids in found.items() if not (body := k.lstrip("\0").removeprefix("\n")) or body[0].isspace() or body[-1].isspace()}
         for k in unsafe:
