@@ -427,6 +427,7 @@ def section_slice(spark, sf_dir):
     return table(spark, "texts").where("case_id = 6").select("case_id", evaluate.section(F.col("text"), "birth", "issued").alias("part"))
 
 
+# The bundled gold texts, each with its labelled substrings.
 GOLD = (
     (1, "Jane Doe works at Initech and can be reached at jane.doe@example.com or 555-123-4567.", (("person", "Jane Doe"), ("company", "Initech"), ("email", "jane.doe@example.com"), ("phone", "555-123-4567"))),
     (2, "Please mail the form to 742 Evergreen Terrace, Springfield, IL 62704.", (("address", "742 Evergreen Terrace, Springfield, IL 62704"),)),
