@@ -28,18 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has written into the shared folder.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again.
 
     The lineage ends there: a lost executor costs no recomputation of what came before, and values
-    that depend on how rows were dealt out (such as partition numbers) stay as they were.
+    that depend on how rows were dealt out (such as partition numbers) stay as they were. Results are
+    read lazily, so the tables stay until ``forget`` is called or the folder's own expiry takes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that ``stored`` has written so far, and tells how many.
+
+    For the end of a job, when the results that were made of them have been written elsewhere.
+    """
+    jvm = spark.sparkContext._jvm
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,6 +11,8 @@ the end or the start of its value's order, so equal texts stay together wherever
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def _split(rows: DataFrame, leaves: dict[int, int], spans: list[int], leaf: floa
     while any(not n["done"] for n in nodes.values()):
         open_ = {k: n for k, n in nodes.items() if not n["done"]}
         bins = max(16, min(BINS, ALL_BINS // len(open_)))
-        state = [(k, n["dim"], n["stage"], n["lo"], n["hi"], _decimal(-(-(n["hi"] - n["lo"] + 1) // bins)), n["need"], *[*n["at"], 0, 0][:2], n["up"] + n["down"]) for k, n in open_.items()]
+        state = [(k, n["dim"], n["stage"], n["lo"], n["hi"], Decimal(-(-(n["hi"] - n["lo"] + 1) // bins)), n["need"], *[*n["at"], 0, 0][:2], n["up"] + n["down"]) for k, n in open_.items()]
         near = rows.join(F.broadcast(spark.createDataFrame(state, names)), "node")
         v = F.when(F.col("stage") == 0, value).when(F.col("stage") == 1, F.col("h")).otherwise(F.coalesce("doc_id", F.lit(-(2**63))))
         near = near.withColumn("v", v).where("stage = 0 or (case " + " ".join(f"when dim = {i} then d{i}" for i in range(d)) + " end = c0 and (stage = 1 and not array_contains(moved, h) or stage = 2 and h = c1))").where("v between lo and hi")
@@ -138,9 +140,3 @@ def _split(rows: DataFrame, leaves: dict[int, int], spans: list[int], leaf: floa
     beyond = beyond.when(F.col("depth") == 2, F.col("equal_up")).when(ids != F.col("c2"), ids > F.col("c2")).otherwise(F.col("equal_up"))
     node = F.when(F.col("upper").isNotNull() & beyond, F.col("upper")).otherwise(F.col("node"))
     return joined.select(*[c for c in rows.columns if c != "node"], node.alias("node"))
-
-
-def _decimal(x: int):
-    from decimal import Decimal
-
-    return Decimal(x)

@@ -318,7 +318,6 @@ def dedup(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
 
     schema = "g long, h long, part long, off int, n long, sub long, bytes binary"
     per = parts.groupBy("h", "part").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
-    # where a hash stands in one segment only and that is there many times, all of it is repeated anyway
     level = stored(per.select(F.col("h").alias("g"), "h", "part", F.lit(0).alias("off"), "n", F.col("part").alias("sub"), "bytes"), "run-level")
     results = []
     for width in (*WIDTHS, None):
@@ -326,11 +325,11 @@ def dedup(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
         hot = stored(different.where(F.col("size") > HOT_BYTES).select("g"), "run-hot") if width else None
         there = hot is not None and not hot.isEmpty()
         cold = level.join(hot, "g", "left_anti") if there else level
-        dealt = cold.select(schema_names(schema)).repartition(n, "g").sortWithinPartitions("g", "sub")
+        dealt = cold.select(_names(schema)).repartition(n, "g").sortWithinPartitions("g", "sub")
         results.append(stored(dealt.mapInArrow(lambda x: _indexed(x, length), "h long, part long, a array<int>, b array<int>"), "run-repeats"))
         if not there:
             break
-        cut = level.join(hot, "g", "left_semi").select(schema_names(schema))
+        cut = level.join(hot, "g", "left_semi").select(_names(schema))
         level = stored(cut.mapInArrow(lambda x, w=width: _split(x, length, w), schema), "run-level")
     marks = results[0]
     for x in results[1:]:
@@ -342,5 +341,5 @@ def dedup(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str
     return whole.mapInArrow(lambda x: _kept(x, length), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
-def schema_names(schema: str) -> list[str]:
+def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
