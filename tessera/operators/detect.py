@@ -36,6 +36,8 @@ DATE_PATTERNS = {
     "ymd_dash": r"\b\d{4}-\d{1,2}-\d{1,2}\b",
     "month_name": rf"(?i:\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b)",
 }
+#: Three digits in a row, without which there is no phone number.
+DIGITS = r"\p{Nd}{3}"
 # Labels before a person's name, first those that need no colon, then those that do.
 OPEN_LABELS = (r"Applicant(?:\s+Name)?", r"Customer\s+Name", r"Employee\s+Name", r"Candidate\s+Name", r"Contact(?:\s+Person|\s+Name)?", r"Authorized\s+Signatory", r"Signed\s+by", "Attention", "Attn", "Dear")
 COLON_LABELS = ("Promoter", "Director", "Signatory", "Witness", "Guarantor")
@@ -64,7 +66,7 @@ def _regex(text: Column, pattern: str, kind: str, wide: bool, needs: Column, kee
 
 
 def ssn(text: Column, wide: bool = True) -> Column:
-    return _regex(text, SSN, "ssn", wide, text.contains("-"))
+    return _regex(text, SSN, "ssn", wide, text.rlike(r"\p{Nd}-\p{Nd}"))
 
 
 def card_digits(value: Column) -> Column:
@@ -76,11 +78,11 @@ def credit_card(text: Column, wide: bool = True) -> Column:
 
     A separator after the last digit belongs to the match.
     """
-    return _regex(text, CARD, "credit_card", wide, F.lit(True), lambda v: F.length(card_digits(v)).between(13, 19) & validators.luhn_valid(v))
+    return _regex(text, CARD, "credit_card", wide, text.rlike(r"(?:\p{Nd}[ -]?){13}"), lambda v: F.length(card_digits(v)).between(13, 19) & validators.luhn_valid(v))
 
 
 def phone(text: Column, wide: bool = True) -> Column:
-    return _regex(text, PHONE, "phone", wide, F.lit(True))
+    return _regex(text, PHONE, "phone", wide, text.rlike(DIGITS))
 
 
 def email(text: Column, wide: bool = True) -> Column:
@@ -89,11 +91,11 @@ def email(text: Column, wide: bool = True) -> Column:
 
 def ip_address(text: Column, wide: bool = True) -> Column:
     """Dotted quads without leading zeros, then full IPv6 addresses of eight groups."""
-    return F.concat(_regex(text, IPV4, "ip_address", wide, text.contains("."), validators.ipv4_valid), _regex(text, IPV6, "ip_address", wide, text.contains(":")))
+    return F.concat(_regex(text, IPV4, "ip_address", wide, text.rlike(r"\p{Nd}\."), validators.ipv4_valid), _regex(text, IPV6, "ip_address", wide, text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]")))
 
 
 def address(text: Column, wide: bool = True) -> Column:
-    return _regex(text, ADDRESS, "address", wide, F.lit(True))
+    return _regex(text, ADDRESS, "address", wide, text.rlike(r"(?U)\p{Nd}\s"))
 
 
 def parsed_date(value: Column, layout: str) -> Column:

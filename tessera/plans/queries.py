@@ -12,7 +12,7 @@ from tessera.functions import fuzzy, spans, validators
 from tessera.operators import detect, evaluate, jobs, pipeline, pseudonyms, redact, resolve, review
 from tessera.operators import policy as policies
 from tessera.plans.fixtures import table
-from tessera.sources import adapters, blocks, ingest, sinks
+from tessera.sources import adapters, blocks, ingest, sinks, tables
 
 #: Clock of the inline cases.
 AS_OF = datetime.date(2024, 6, 1)
@@ -21,7 +21,7 @@ HELD = ("credit_card", "phone", "email", "ip_address")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tables.spread(tables.read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
 
 
 def _longs(df: DataFrame, *names: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _one(kind: str, find, source: str = "documents", id_: str = "doc_id", text: str = "text"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+        docs = tables.spread(tables.read(spark, sf_dir, source).select(id_, text))
         found = docs.select(id_, F.explode(find(F.col(text), False)).alias("e"))
         return _longs(found.select(id_, F.col("e.text").alias("value"), "e.start", "e.end"), "start", "end")
 
@@ -483,7 +483,8 @@ def load_entities(spark, sf_dir):
 
 
 def checksum_dedup(spark, sf_dir):
-    return ingest.deduplicated(_docs(spark, sf_dir).select("doc_id", "text"), "text", ["doc_id"]).select("doc_id", "checksum", "first_id", "deduplicated")
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ingest.deduplicated(docs, "text", ["doc_id"]).select("doc_id", "checksum", "first_id", "deduplicated")
 
 
 def acceptable_files(spark, sf_dir):

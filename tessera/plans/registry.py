@@ -8,6 +8,7 @@ from tessera import schema
 from tessera.operators import pipeline, policy
 from tessera.operators import redact as redaction
 from tessera.plans import oracles, queries
+from tessera.sources import tables
 
 QUERIES = queries.QUERIES
 ORACLE_SQL = oracles.ORACLE_SQL
@@ -15,6 +16,6 @@ ORACLE_SQL = oracles.ORACLE_SQL
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detect all nine kinds in every document, approve by confidence, mask: ``doc_id, n_spans, redacted``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = tables.spread(tables.read(spark, sf_dir, "documents").select("doc_id", "text"))
     done = redaction.redact(policy.approved(pipeline.with_entities(docs, schema.TYPES), {}))
     return done.selectExpr("doc_id", "size(plan) as n_spans", "redacted")

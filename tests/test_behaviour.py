@@ -49,6 +49,9 @@ def test_all_types_in_one_text(spark):
         (None, []),
         ("4539148803436468", []),  # the checksum fails
         ("4539 1488 0343 6467 ", [("credit_card", "4539 1488 0343 6467")]),
+        ("4 5 3 9 1 4 8 8 0 3 4 3 6 4 6 7", [("credit_card", "4 5 3 9 1 4 8 8 0 3 4 3 6 4 6 7")]),
+        ("12\u00a0Oak St", [("address", "12\u00a0Oak St")]),
+        ("٢٣٤-٥٦-٧٨٩٠", [("ssn", "٢٣٤-٥٦-٧٨٩٠")]),
         ("999.999.999.999 and 01.2.3.4", []),
         ("😀 a@b.co", [("email", "a@b.co")]),
         ("reach 555-123-4567.", [("phone", "555-123-4567")]),
@@ -397,3 +400,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert "1.0000" in (tmp_path / "rep/evaluation_report.md").read_text()
     with pytest.raises(SystemExit):
         main(["redact", str(tmp_path / "in"), str(tmp_path / "out"), "--strategy", "phone=nonsense"], spark)
+
+
+def test_small_inputs_are_spread(spark, monkeypatch):
+    from tessera.sources import tables
+
+    docs = tables.read(spark, SF_SMALL, "documents")
+    assert "REPARTITION" in tables.spread(docs)._jdf.queryExecution().toString().upper()
+    monkeypatch.setattr(tables, "SMALL_SHARE", 0)
+    assert "REPARTITION" not in tables.spread(docs)._jdf.queryExecution().toString().upper()
