@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
+#: Edges (of 16 bytes) that one task joins at most; more are joined by distributed steps.
+ONE_TASK = 1_000_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of an edge; the component is its least node.
 
-    Large-star and small-star steps take turns: each links a node's larger (or smaller) neighbours to the
-    least one it knows, until every node hangs on its component's least node. Every step is a grouped
-    minimum (summed before the shuffle) and a join, so a node with very many edges is no single task's
-    work. Edges with a null end and loops say nothing; repeated edges count once.
+    At most ``ONE_TASK`` edges are joined by union-find in one executor's task. Beyond that, large-star and
+    small-star steps take turns: each links a node's larger (or smaller) neighbours to the least one it
+    knows, until every node hangs on its component's least node. Every step is a grouped minimum (summed
+    before the shuffle) and a join, so a node with very many edges is no single task's work. Edges with a
+    null end and loops say nothing; repeated edges count once.
     """
-    down = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    down, last = stored(down.distinct(), "components"), None
+    real = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    if real.count() <= ONE_TASK:
+        return real.coalesce(1).mapInArrow(_joined, "node long, component long")
+    down, last = stored(real.distinct(), "components"), None
     while True:
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-least")
@@ -32,3 +41,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = now
     leaves = down.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(down.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])

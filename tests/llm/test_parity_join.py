@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from tests.llm.conftest import sentence, table
 
+from tessera.llm import components as module
 from tessera.llm import parity_join as pj
 from tessera.llm import shingles
 from tessera.llm.components import components
@@ -63,6 +64,11 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got(table(spark, rows), 3, 9, 10) == brute(rows, 3, 9, 10)
 
 
+def test_links_joined_by_distributed_steps(docs, corpus, monkeypatch):
+    monkeypatch.setattr(module, "ONE_TASK", 0)
+    assert got(docs, 3, 9, 10) == brute(corpus, 3, 9, 10)
+
+
 def test_hot_copies_and_common_passages(spark):
     rng = random.Random(2)
     passage = sentence(rng, 40)
@@ -159,7 +165,10 @@ def test_shingles_are_those_of_the_words():
             assert named.setdefault(tuple(s.tolist()), grams(t, k)) == grams(t, k)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [True, False])
+def test_components(spark, monkeypatch, in_one_task):
+    if not in_one_task:
+        monkeypatch.setattr(module, "ONE_TASK", -1)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 200)] + [(None, 3), (7, 7)]
     root = {}
