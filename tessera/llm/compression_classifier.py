@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 #: Bytes of a dictionary, of the pieces it is trained on, and the compression level.
 DICTIONARY_BYTES, PIECE_BYTES, LEVEL = 112_640, 4096, 3
 
@@ -134,7 +136,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -147,4 +149,4 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text"
             s = scorer([(x.as_py() or "").encode() for x in batch.column(at)])
             yield batch.filter(pa.array(s >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import shuffle_partitions, small, stored
+from tessera.llm.common import shuffle_partitions, small, stored, tidy
 from tessera.llm.components import components
 
 #: Classes of a block up to which all pairs are candidates at once; classes on a side of a cell.
@@ -342,13 +342,13 @@ def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, doc_id: s
     spark, rule = docs.sparkSession, Rule(size, num, den)
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = stored(rows.mapInArrow(lambda x: _classes(x, rule), "doc_id long, n long, c long, sketch binary, even long, odd long"), "parity-sets")
+    sets = stored(rows.mapInArrow(tidy(lambda x: _classes(x, rule)), "doc_id long, n long, c long, sketch binary, even long, odd long"), "parity-sets")
     same = [F.min(x).alias(x) for x in ("n", "sketch", "even", "odd")]
     classes = stored(sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), *same), "parity-classes")
 
-    told = rows.select("text").mapInArrow(lambda x: _keys(x, rule), "key long, c long")
+    told = rows.select("text").mapInArrow(tidy(lambda x: _keys(x, rule)), "key long, c long")
     in_blocks = [F.col("key"), F.xxhash64("c", "key"), F.col("c")]
-    shared = told.repartition(n, "key").sortWithinPartitions(*in_blocks).mapInArrow(_members, "key long, c long, m int")
+    shared = told.repartition(n, "key").sortWithinPartitions(*in_blocks).mapInArrow(tidy(_members), "key long, c long, m int")
     # of a class's blocks at one level those in most classes are left out, as many as may be
     level = F.pmod("key", F.lit(2))
     common = F.row_number().over(Window.partitionBy("c", level).orderBy(F.col("m").desc(), "key"))
@@ -356,11 +356,11 @@ def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, doc_id: s
     members = stored(ranked.where(F.col("rank") > F.when(level == 0, F.col("even")).otherwise(F.col("odd"))).select("key", "c"), "parity-members")
 
     sketches = classes.select("c", "n", "sketch")
-    met = members.repartition(n, "key").sortWithinPartitions(*in_blocks).mapInArrow(_meetings, "a long, b long")
+    met = members.repartition(n, "key").sortWithinPartitions(*in_blocks).mapInArrow(tidy(_meetings), "a long, b long")
     first = met.distinct()
     with_a = first.join(sketches.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     with_b = with_a.join(sketches.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    pairs = stored(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: _passing(x, rule), "a long, b long"), "parity-pairs")
+    pairs = stored(with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(lambda x: _passing(x, rule)), "a long, b long"), "parity-pairs")
     links = verify(rows, classes, pairs, rule)
     found = stored(components(links), "parity-components")
 
@@ -396,7 +396,7 @@ def _between(members: DataFrame, found: DataFrame, sketches: DataFrame, rule: Ru
     left = asked.where("component != main").select("key", F.pmod("r", "is").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("js") - 1)).alias("j"), "c", "n", "component", "sketch", F.lit(True).alias("straggler"))
     right = asked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("is") - 1)).alias("i"), F.pmod("r", "js").alias("j"), "c", "n", "component", "sketch", F.lit(False).alias("straggler"))
     cells = left.unionByName(right).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInArrow(lambda x: _cells(x, rule, best), "a long, b long").distinct()
+    return cells.mapInArrow(tidy(lambda x: _cells(x, rule, best)), "a long, b long").distinct()
 
 
 def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -406,7 +406,7 @@ def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) ->
     texts = stored(rows.join(small(need), "doc_id").select("c", "text").dropDuplicates(["c", "text"]), "parity-texts")
     with_a = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
-    return stored(with_b.select("a", "b", "ta", "tb").mapInArrow(lambda x: _verified(x, rule), "a long, b long").distinct(), "parity-links")
+    return stored(with_b.select("a", "b", "ta", "tb").mapInArrow(tidy(lambda x: _verified(x, rule)), "a long, b long").distinct(), "parity-links")
 
 
 def one_of_each(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
