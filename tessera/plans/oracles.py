@@ -182,7 +182,34 @@ def _texts(pattern: str, confidence: str) -> str:
     return f'{cte("texts")} SELECT *, {confidence}::DOUBLE AS confidence FROM ({places("texts", "case_id", "text", pattern)})'
 
 
+STREET_WORDS = rf"\b[0-9]{{1,6}}\s+[A-Z][A-Za-z]*(?:\s[A-Z][A-Za-z]*){{0,3}}\s(?:(?:{STREET})\b\.?)(?:,\s*[A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+)*)?(?:,?\s*[A-Z]{{2}})?(?:\s+[0-9]{{4,6}}(?:-[0-9]{{4}})?)?"
+MONTH = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+DATES = (
+    (r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b", ("%m/%d/%Y",)),
+    (r"\b[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}\b", ("%m-%d-%Y",)),
+    (r"\b[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\b", ("%Y-%m-%d",)),
+    (rf"(?i:\b(?:{MONTH})\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b)", ("%B %d, %Y", "%b %d, %Y", "%b %d %Y")),
+)
+LABEL = r"\b(?:(?:Applicant(?:\s+Name)?|Customer\s+Name|Employee\s+Name|Candidate\s+Name|Contact(?:\s+Person|\s+Name)?|Authorized\s+Signatory|Signed\s+by|Attention|Attn|Dear)\s*:?\s*|(?:Promoter|Director|Signatory|Witness|Guarantor)\s*:\s*)"
+NAMED = r"[A-Z][a-zA-Z'-]+(?:[ \t]+[A-Z][a-zA-Z'-]+){1,3}"
+ROLES = "sir|madam|team|services?|department|support|customers?|staff|committee|board|management|all|everyone|members?|users?|clients?|valued|dear|hiring|recruiting|recruitment"
+
+
+def _dates(pattern: str, layouts: tuple[str, ...]) -> str:
+    """Places of one layout's dates from 1904 to 2024; white space in a match counts as one blank."""
+    one = "regexp_replace(value, '\\s+', ' ', 'g')"
+    day = f"COALESCE({', '.join(f"try_strptime({one}, '{x}')" for x in layouts)})"
+    return f'SELECT doc_id, value, start, "end" FROM ({places("documents", "doc_id", "text", pattern)}) WHERE year({day}) BETWEEN 1904 AND 2024'
+
+
 ORACLE_SQL = {
+    # whole documents, with borders and classes in ASCII as DuckDB has them
+    "detect_ssn_documents": places("documents", "doc_id", "text", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    "detect_ipv6_documents": places("documents", "doc_id", "text", IPV6),
+    "detect_address_documents": places("documents", "doc_id", "text", STREET_WORDS),
+    "detect_dob_documents": " UNION ALL ".join(_dates(*x) for x in DATES),
+    "detect_labeled_name_documents": f"""SELECT doc_id, name AS value, ("end" - length(name))::BIGINT AS start, "end" FROM (
+SELECT doc_id, "end", regexp_extract(value, {_q(LABEL + "(" + NAMED + ")")}, 1) AS name FROM ({places("documents", "doc_id", "text", LABEL + NAMED)})) WHERE NOT regexp_matches(lower(name), '(?:^|\\s)(?:{ROLES})(?:\\s|$)')""",
     # inline texts: the neighbours in these cases make word borders stand in for look-around
     "detect_ssn": _texts(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "0.97"),
     "detect_ipv6": _texts(IPV6, "0.83"),

@@ -16,8 +16,6 @@ from tessera.sources import adapters, blocks, ingest, sinks, tables
 
 #: Clock of the inline cases.
 AS_OF = datetime.date(2024, 6, 1)
-#: Kinds whose values the test tables hold and whose patterns need no ideas of words.
-HELD = ("credit_card", "phone", "email", "ip_address")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,14 +26,22 @@ def _longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.detect_pii(_docs(spark, sf_dir), HELD, wide=False)
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.detect_pii(_docs(spark, sf_dir), as_of=F.lit(AS_OF))
+
+
+def _ipv6(text):
+    return F.filter(detect.ip_address(text), lambda e: e["text"].contains(":"))
+
+
+def _dob(text):
+    return detect.date_of_birth(text, F.lit(AS_OF))
 
 
 def _one(kind: str, find, source: str = "documents", id_: str = "doc_id", text: str = "text"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = tables.spread(tables.read(spark, sf_dir, source).select(id_, text))
-        found = docs.select(id_, F.explode(find(F.col(text), False)).alias("e"))
+        found = docs.select(id_, F.explode(find(F.col(text))).alias("e"))
         return _longs(found.select(id_, F.col("e.text").alias("value"), "e.start", "e.end"), "start", "end")
 
     return query
@@ -65,7 +71,7 @@ def ipv4_valid(spark, sf_dir):
 
 
 def _around(spark, sf_dir):
-    found = _docs(spark, sf_dir).select("doc_id", "text", F.explode(detect.email(F.col("text"), False)).alias("e"))
+    found = _docs(spark, sf_dir).select("doc_id", "text", F.explode(detect.email(F.col("text"))).alias("e"))
     return found.select("doc_id", "text", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
 
 
@@ -119,7 +125,7 @@ def dob_format_like(spark, sf_dir):
 
 
 def entity_id(spark, sf_dir):
-    return _held(spark, sf_dir).where("type = 'email'").select("doc_id", "entity_id")
+    return _found(spark, sf_dir).where("type = 'email'").select("doc_id", "entity_id")
 
 
 def display_mask(spark, sf_dir):
@@ -138,17 +144,17 @@ def detect_credit_card(spark, sf_dir):
 
 
 def detect_all(spark, sf_dir):
-    found = _docs(spark, sf_dir).select("doc_id", F.inline(detect.detect_all(F.col("text"), HELD, wide=False)))
+    found = _docs(spark, sf_dir).select("doc_id", F.inline(detect.detect_all(F.col("text"), as_of=F.lit(AS_OF))))
     return _longs(found.select("doc_id", "type", F.col("text").alias("value"), "start", "end", "confidence", "source"), "start", "end")
 
 
 def detect_filtered(spark, sf_dir):
-    found = pipeline.detect_pii(_docs(spark, sf_dir), ("email",), wide=False)
+    found = pipeline.detect_pii(_docs(spark, sf_dir), ("email",))
     return _longs(found.select("doc_id", "type", F.col("text").alias("value"), "start", "end", "confidence"), "start", "end")
 
 
 def detect_pii(spark, sf_dir):
-    return _longs(_held(spark, sf_dir).select("doc_id", "type", F.col("text").alias("value"), "start", "end", "confidence"), "start", "end")
+    return _longs(_found(spark, sf_dir).select("doc_id", "type", F.col("text").alias("value"), "start", "end", "confidence"), "start", "end")
 
 
 def detect_distinct(spark, sf_dir):
@@ -242,7 +248,7 @@ def visible_highlights(spark, sf_dir):
 
 
 def min_confidence_view(spark, sf_dir):
-    return review.hidden_counts(_held(spark, sf_dir), 0.86)
+    return review.hidden_counts(_found(spark, sf_dir), 0.86)
 
 
 def group_by_page(spark, sf_dir):
@@ -253,7 +259,7 @@ def group_by_page(spark, sf_dir):
 def dictionary_highlight(spark, sf_dir):
     """Every document's own e-mail addresses and the word ``the``, as needles."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    mails = pipeline.detect_pii(docs, ("email",), wide=False).select("doc_id", F.col("text").alias("needle"))
+    mails = pipeline.detect_pii(docs, ("email",)).select("doc_id", F.col("text").alias("needle"))
     needles = mails.unionByName(mails.select("doc_id", F.lit(" the ").alias("needle")))
     found = jobs.dictionary_matches(docs, needles)
     return found.groupBy("doc_id", "needle").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first"))
@@ -262,10 +268,10 @@ def dictionary_highlight(spark, sf_dir):
 # --- replacement ---
 
 
-def redacted(spark: SparkSession, sf_dir: str, policy: dict[str, str], types: tuple[str, ...] = HELD) -> DataFrame:
+def redacted(spark: SparkSession, sf_dir: str, policy: dict[str, str], types: tuple[str, ...] = schema.TYPES) -> DataFrame:
     """Detect, approve and rewrite all documents."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    return redact.redact(policies.approved(pipeline.with_entities(docs, types, wide=False), policy, as_of=F.lit(AS_OF)))
+    return redact.redact(policies.approved(pipeline.with_entities(docs, types, as_of=F.lit(AS_OF)), policy, as_of=F.lit(AS_OF)))
 
 
 def redact_mask(spark, sf_dir):
@@ -289,7 +295,7 @@ def redaction_rollup(spark, sf_dir):
 def merged_counts(spark, sf_dir):
     """Counts of documents and of pages' sources added up."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    other = redact.redact(policies.approved(pipeline.with_entities(pages, ("email",), wide=False), {}))
+    other = redact.redact(policies.approved(pipeline.with_entities(pages, ("email",)), {}))
     return redact.merged_counts(redact.counts(redacted(spark, sf_dir, {}, ("email",))), redact.counts(other))
 
 
@@ -342,13 +348,13 @@ def box_plan(spark, sf_dir):
 
 
 def pseudonymize_phone(spark, sf_dir):
-    found = pipeline.detect_pii(_docs(spark, sf_dir), ("phone",), wide=False)
+    found = pipeline.detect_pii(_docs(spark, sf_dir), ("phone",))
     return found.select("doc_id", F.col("text").alias("value"), pseudonyms.phone(F.col("text")).alias("fake"))
 
 
 def pseudonymize(spark, sf_dir):
     """Stand-ins of all found values, document by document, in order."""
-    found = pipeline.with_entities(_docs(spark, sf_dir).select("doc_id", "text"), HELD, wide=False)
+    found = pipeline.with_entities(_docs(spark, sf_dir).select("doc_id", "text"), as_of=F.lit(AS_OF))
     memo = pseudonyms.pseudonyms(F.col("doc_id"), F.transform("entities", lambda e: F.struct(e["type"].alias("type"), redact.clean(e["text"]).alias("original"))), F.lit(AS_OF))
     return found.select("doc_id", F.inline(memo)).select("doc_id", "type", "original", "fake")
 
@@ -418,7 +424,7 @@ def label_spans(spark, sf_dir):
 
 
 def annotation_template(spark, sf_dir):
-    found = pipeline.detect_pii(_docs(spark, sf_dir), ("email",), wide=False)
+    found = pipeline.detect_pii(_docs(spark, sf_dir), ("email",))
     predicted = found.select(F.lit(None).cast("string").alias("entity_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("type").alias("pii_type"), "start", "end", "text", F.lit(0).alias("ordinal"))
     return _longs(evaluate.annotation_template(predicted).withColumnRenamed("text", "value"), "start", "end")
 
@@ -517,7 +523,7 @@ def job_status(spark, sf_dir):
 
 
 def job_summary(spark, sf_dir):
-    per = _held(spark, sf_dir).groupBy(F.lit("j").alias("job_id"), F.col("type").alias("pii_type")).agg(F.count("*").alias("n"))
+    per = _found(spark, sf_dir).groupBy(F.lit("j").alias("job_id"), F.col("type").alias("pii_type")).agg(F.count("*").alias("n"))
     return jobs.summaries(per)
 
 
@@ -575,14 +581,19 @@ def _docx(text: str) -> bytes:
 
 QUERIES = {
     "detect_ssn": _case(detect.ssn),
-    "detect_ipv6": _case(lambda t: F.filter(detect.ip_address(t), lambda e: e["text"].contains(":"))),
+    "detect_ipv6": _case(_ipv6),
     "detect_address": _case(detect.address),
-    "detect_dob": _case(lambda t: detect.date_of_birth(t, F.lit(AS_OF))),
+    "detect_dob": _case(_dob),
     "detect_labeled_name": _case(detect.labeled_name),
     "detect_email": _one("email", detect.email),
     "detect_email_pages": _one("email", detect.email, "pages", "page_id", "html"),
     "detect_phone": _one("phone", detect.phone),
     "detect_ip": _one("ip_address", detect.ip_address),
+    "detect_ssn_documents": _one("ssn", detect.ssn),
+    "detect_ipv6_documents": _one("ip_address", _ipv6),
+    "detect_address_documents": _one("address", detect.address),
+    "detect_dob_documents": _one("dob", _dob),
+    "detect_labeled_name_documents": _one("person", detect.labeled_name),
 }
 for _f in (
     luhn_filter, ipv4_valid, context_window, preceding_word, word_safe, dob_context, indel_ratio, text_similarity, company_suffix_boost, acronym_guard, company_confidence, name_tokens, dob_format_like,
