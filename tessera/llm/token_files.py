@@ -156,11 +156,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = max(self.tokenizer.get_vocab_size(), end_id + 1)
         self.end = np.array([end_id], "<u4").tobytes()
         told = json.loads(self.tokenizer.to_str())
         before = told["pre_tokenizer"] or {}
+        self.added = tuple(x["content"] for x in told["added_tokens"] or ())  # found before texts are cut into tokens
         self.in_pieces = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -199,9 +199,13 @@ class Encoder:
         self.known.update(found)
         return unsafe
 
+    def _pieces(self, text: str) -> bool:
+        """Whether the ids of a text are those of its pieces; an added token's string may lie across them."""
+        return bool(text) and self.in_pieces and "\0" not in text and not any(x in text for x in self.added)
+
     def _whole(self, text: str) -> bytes:
         """A text with places that can't be cut: pieces between those that can, or all of it at once."""
-        if not text or not self.in_pieces or "\0" in text or text[0] in " \n":  # here a key would leave out the wrong thing
+        if not self._pieces(text) or text[0] in " \n":  # here a key would leave out the wrong thing
             return self._encode([text])[0] if text else b""
         keys = [p[1:] if p[0] == " " else p if p[0] == "\n" else "\0" + p for p in CUT.split(text)]
         unsafe = self._learn(set(keys))
@@ -209,7 +213,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, the end id included; what is new in all of them is encoded at once."""
-        pieces = [t.replace("\n", " \n").split(" ") if t and self.in_pieces and "\0" not in t else None for t in texts]
+        pieces = [t.replace("\n", " \n").split(" ") if self._pieces(t) else None for t in texts]
         for keys in pieces:
             if keys is not None:
                 keys[0] = "\0" + keys[0]

@@ -29,6 +29,21 @@ def test_encoding_in_pieces_is_the_librarys():
         assert got.tolist() == [*(e.tokenizer.encode(t, add_special_tokens=False).ids if t else []), 2], repr(t)
 
 
+def test_added_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(PATH)
+    made = ["one two <|endoftext|> three", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|>", "one <|endoftext| > two", "one two three"]
+    want = [[*fresh.encode(t, add_special_tokens=False).ids, 2] for t in made]
+    assert 50256 in want[0] and [x.tolist() for x in tf.Encoder(PATH, 2)(made)] == want
+    rows, at = [], 0
+    for i, ids in enumerate(want):
+        rows.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert rows_of(tf.read(tf.write(df, PATH, 2))) == rows
+
+
 def test_little_memory_changes_nothing(monkeypatch):
     monkeypatch.setattr(tf, "REMEMBERED", 8)
     e = tf.Encoder(PATH, 2)
