@@ -20,8 +20,11 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 KINDS = ("assign", "access", "hex", "bare")
-#: What a value without its context looks like, and from how many owners on a value is a copied example.
-BARE, COPIED_BY = r"[A-Za-z0-9+/_-]{12,}", 3
+#: What a value without its context looks like: a run of the characters of values that is long enough to look
+#: random, and its parts where "=", "." or both bound a value.
+BARE, PARTS = r"[A-Za-z0-9+/_.=-]{8,}", (r"[A-Za-z0-9+/_.-]{8,}", r"[A-Za-z0-9+/_=-]{8,}", r"[A-Za-z0-9+/_-]{8,}")
+#: From how many owners on a value is a copied example.
+COPIED_BY = 3
 #: A value with more than this part of all occurrences is joined by broadcast; there are at most 1 / HOT such.
 HOT = 0.001
 
@@ -54,12 +57,40 @@ def random_looking(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 8) & (kinds >= 6)
 
 
+def trimmed(value: Column) -> Column:
+    """The value without the full stops and padding around it."""
+    return F.regexp_replace(value, "^[.=]+|[.=]+$", "")
+
+
+def bare_spans(text: Column) -> Column:
+    """Where a value could stand without its context: ``array<struct<start, end, value>>``.
+
+    What a run must hold to look random a part can't have unless the run has it.
+    """
+
+    def parts(run: Column) -> Column:
+        inner = [F.transform(located(run["value"], p, 0), lambda s: _span(run["start"] + s["start"], s["value"])) for p in PARTS]
+        found = F.concat(F.array(_span(run["start"], run["value"])), *inner)
+        cut = F.transform(found, lambda s: _span(s["start"] + F.length(F.regexp_extract(s["value"], "^[.=]*", 0)), trimmed(s["value"])))
+        return F.when(run["value"].rlike("[.=]"), F.array_distinct(F.concat(found, cut))).otherwise(F.array(_span(run["start"], run["value"])))
+
+    runs = F.filter(located(text, BARE, 0), lambda s: random_looking(s["value"]))
+    return F.filter(F.flatten(F.transform(runs, parts)), lambda s: random_looking(s["value"]))
+
+
+def _span(start: Column, value: Column) -> Column:
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+
 def base_spans(text: Column) -> Column:
-    """All base spans of a text by start, then kind: ``array<struct<start, kind, end, hash, random>>``."""
+    """All base spans of a text by start, then kind: ``array<struct<start, kind, end, hash, random, bare>>``.
+
+    ``bare`` is the hash of the trimmed value if that looks random too and differs.
+    """
 
     def of(kind: int, pattern: str, group: int, least: int) -> Column:
         good = F.filter(located(text, pattern, group), lambda s: F.length(s["value"]) >= least)
-        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash"), random_looking(s["value"]).alias("random")))
+        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash"), random_looking(s["value"]).alias("random"), F.when(s["value"].rlike("^[.=]|[.=]$") & random_looking(trimmed(s["value"])), F.xxhash64(trimmed(s["value"]))).alias("bare")))
 
     parts = [of(k, *x[1:]) for k, x in enumerate(BASE)]
     return F.array_sort(F.concat(*parts))
@@ -70,30 +101,38 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
 
     ``kind`` counts in ``KINDS``. A repository is one of an owner's (owner and name together). A null
     owner or repository is one of its own. ``live`` holds for a random-looking value with fewer than
-    ``copied_by`` owners. Bare spans are the places of live values outside all base spans. A null or
-    empty text has no spans. Equal rows are rows of their own, a null id is kept. Other columns play no
+    ``copied_by`` owners. Bare spans are the places of live values outside all base spans, where the
+    value is a whole run of the characters of values; "." and "=" may bound it as well. A live value with
+    these at its ends (a sentence's full stop) also stands where it does without them, unless that
+    is a value of its own. Of bare spans within one another the outermost stays. A null or empty text has no spans. Equal rows are rows of their own, a null id is kept. Other columns play no
     part; an empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    bare = F.filter(located(body, BARE, 0), lambda s: random_looking(s["value"]))
-    bare = F.when(body.rlike("[0-9]"), F.transform(bare, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash"), F.lit(True).alias("random"))))
+    bare = F.when(body.rlike("[0-9]"), F.transform(bare_spans(body), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash"), F.lit(True).alias("random"), F.lit(None).cast("long").alias("bare"))))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_hash"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), base_spans(body).alias("base"), bare.alias("bare"))
     clear = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = rows.withColumn("bare", F.coalesce(F.filter("bare", lambda s: clear(s, F.col("base"))), F.array().cast("array<struct<start:int,kind:int,end:int,hash:bigint,random:boolean>>")))
+    rows = rows.withColumn("bare", F.coalesce(F.filter("bare", lambda s: clear(s, F.col("base"))), F.array().cast("array<struct<start:int,kind:int,end:int,hash:bigint,random:boolean,bare:bigint>>")))
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "secret-spans")
 
-    per = rows.select("owner", "repository", F.explode("base").alias("s")).select("owner", "repository", "s.hash", "s.random")
-    per = per.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"), F.max("random").alias("random"))
+    per = rows.select("owner", "repository", F.explode("base").alias("s")).select("owner", "repository", "s.hash", "s.random", "s.bare")
+    per = per.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"), F.max("random").alias("random"), F.max("bare").alias("bare"))
     # null counts as an owner: one more where there is any
     plus = lambda c: F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))
-    stats = per.withColumn("both", F.struct(F.coalesce("owner", F.lit("\x00")), F.coalesce("repository", F.lit("\x00")))).groupBy("hash").agg(F.sum("n").alias("n"), plus("owner").alias("owners"), F.countDistinct("both").alias("repositories"), F.max("random").alias("random"))
+    stats = per.withColumn("both", F.struct(F.coalesce("owner", F.lit("\x00")), F.coalesce("repository", F.lit("\x00")))).groupBy("hash").agg(F.sum("n").alias("n"), plus("owner").alias("owners"), F.countDistinct("both").alias("repositories"), F.max("random").alias("random"), F.max("bare").alias("bare"))
     stats = stored(stats.withColumn("live", F.col("random") & (F.col("owners") < copied_by)), "secret-owners")
 
+    # values that swallowed a full stop or the like, by what is left without it
+    cut = stats.where("live and bare is not null").groupBy(F.col("bare").alias("hash")).agg(*[F.max(c).alias(c) for c in ("n", "repositories", "owners", "live")])
+    kept = ["hash", "n", "repositories", "owners", "live"]
+    stats = stats.select(*kept).unionByName(cut.join(stats.select("hash"), "hash", "left_anti").select(*kept))
+
     places = rows.select("rid", F.explode(F.concat("base", "bare")).alias("s")).select("rid", "s.start", "s.kind", "s.end", "s.hash")
     labelled = _with_stats(places, stats).where("kind < 3 or live")
     span = F.struct("start", "kind", "end", "repositories", "owners", "live")
     spans = labelled.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("spans"))  # a document's own spans
     none = F.array().cast("array<struct<start:int,kind:int,end:int,repositories:bigint,owners:bigint,live:boolean>>")
+    inner = lambda s, o: (o["kind"] == 3) & (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    spans = spans.withColumn("spans", F.filter("spans", lambda s: (s["kind"] < 3) | ~F.exists("spans", lambda o: inner(s, o))))
     return rows.join(spans, "rid", "left").select("doc_id", "text_hash", "base", F.coalesce("spans", none).alias("spans"))
 
 

@@ -91,3 +91,23 @@ def test_odd_rows(odd, nothing):
 def test_no_python_in_the_plan(docs):
     for df in (sec.scan(docs), sec.without_live(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+BARE_CASES = {  # a live value, a text in which it stands bare, and the masked text
+    "Ab3dE6gH9": ("say Ab3dE6gH9 here", "say [SECRET] here"),
+    "eyJhbG1.eyJzdW2.c2lnbm3": ("jwt eyJhbG1.eyJzdW2.c2lnbm3, u?t=eyJhbG1.eyJzdW2.c2lnbm3&x", "jwt [SECRET], u?t=[SECRET]&x"),
+    "cGFzc3dvcmQx==": ("padded cGFzc3dvcmQx== or cGFzc3dvcmQx", "padded [SECRET] or [SECRET]"),
+    "Qw3rtyUi0pAs.": ("ends Qw3rtyUi0pAs and 'Qw3rtyUi0pAs' or Qw3rtyUi0pAs.", "ends [SECRET] and '[SECRET]' or [SECRET]"),
+    "L1veS3cret9876": ("x.L1veS3cret9876 k=L1veS3cret9876. L1veS3cret98765 stays", "x.[SECRET] k=[SECRET]. L1veS3cret98765 stays"),
+}
+
+
+def test_every_live_value_is_found_bare(spark):
+    rows = [(2 * k, f"password={v}") for k, v in enumerate(BARE_CASES)] + [(2 * k + 1, t) for k, (t, _) in enumerate(BARE_CASES.values())]
+    out = {r["doc_id"]: r["text"] for r in sec.without_live(table(spark, rows)).collect()}
+    assert [out[2 * k + 1] for k in range(len(BARE_CASES))] == [w for _, w in BARE_CASES.values()]
+
+
+def test_a_copied_value_is_not_live_for_its_full_stop(spark):
+    rows = [(k, "password=Ex4mple1234567", f"o{k}", "r") for k in range(4)] + [(9, "password=Ex4mple1234567.", "o9", "r"), (10, "bare Ex4mple1234567", "o", "r")]
+    assert owners(spark, rows)[10]["spans"] == []
