@@ -23,21 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, shuffle_partitions, stored
+from tessera.llm.common import shared_dir, shuffle_partitions, stored, tidy
 
 BLOCK = 1 << 16
 MAGIC = b"TSBITS01"
 FOOTER = struct.Struct("<8sIIQQQQ")  # magic, bits, ids a block, ids, documents, place of documents, place of offsets
-#: Pieces of text whose ids a worker remembers at most (in two halves, the older of which goes first).
-REMEMBERED = 2_000_000
+#: Pieces of text whose ids a worker remembers at most; beyond that it starts anew.
+REMEMBERED = 600_000
 MARKS = frozenset(".,;:!?")
-#: Texts that are encoded together.
-TOGETHER = 64
+#: Bytes of texts that are encoded together (one text may be longer), and new pieces that are.
+TOGETHER_BYTES, JOINED = 1 << 20, 16384
+# How byte-level vocabularies write a space and a line end.
+SPACE, LINE = "\u0120", "\u010a"
 #: No token of a byte-level pre-tokenizer lies across these places, so texts can be cut there: before a
 #: single space or line end between characters that are no white space.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -149,7 +152,11 @@ class TokenFile:
 
 
 class Encoder:
-    """Encodes whole texts; remembers the ids of the pieces between places where no token can lie."""
+    """Encodes whole texts; remembers the ids of the pieces between places where no token can lie.
+
+    Arrow splits some texts at a time and numbers their different pieces, so Python looks at each
+    different piece once, and the ids of all texts are gathered from one array.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs in parallel
@@ -157,74 +164,142 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = max(self.tokenizer.get_vocab_size(), end_id + 1)
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.end = np.array([end_id], "<u4")
         told = json.loads(self.tokenizer.to_str())
         before = told["pre_tokenizer"] or {}
         self.added = tuple(x["content"] for x in told["added_tokens"] or ())  # found before texts are cut into tokens
         self.in_pieces = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, keys: set[str]) -> dict[str, bytes]:
-        """Ids of the keys that aren't known; those of safe keys are remembered.
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.spaced, self.line = np.zeros(self.vocabulary, bool), names.get(LINE, -1)
+        self.spaced[[k for name, k in names.items() if name.startswith(SPACE)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # the row of a piece; -1 if its ids depend on what stands beside it
+        self.n, self.ids = 0, np.empty(1 << 16, "<u4")
+        self.rows, self.starts = 0, np.zeros(1 << 14, np.int64)  # row k lies from starts[k] to starts[k + 1]
+
+    def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Rows of the keys, whose ids stand one after another."""
+        while self.n + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.rows + len(keys) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.n : self.n + len(ids)] = ids
+        self.starts[self.rows + 1 : self.rows + len(keys) + 1] = self.n + np.cumsum(sizes)
+        self.known.update(zip(keys, range(self.rows, self.rows + len(keys)), strict=True))
+        self.n, self.rows = self.n + len(ids), self.rows + len(keys)
+
+    def _gathered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows one after another, and how many each has."""
+        starts = self.starts[rows]
+        sizes = self.starts[rows + 1] - starts
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, keys: list[str]) -> None:
+        found = self._encode([" " + k if k[:1] not in ("\0", "\n") else k.lstrip("\0") for k in keys])
+        self._add(keys, np.array([i for x in found for i in x], "<u4"), np.array([len(x) for x in found], np.int64))
+
+    def _together(self, keys: list[str], joint: str) -> None:
+        """Keys are encoded in one text; after a space starts a token, a line end is one of its own."""
+        for at in range(0, len(keys), JOINED):
+            some = keys[at : at + JOINED]
+            if joint == " ":
+                ids = np.array(self._encode([" " + " ".join(some)])[0], "<u4")
+                first = np.flatnonzero(self.spaced[ids])
+            else:
+                ids = np.array(self._encode(["\n".join(["", *(k[1:] for k in some)])])[0], "<u4")
+                first = np.flatnonzero(ids == self.line)
+            if len(first) != len(some):
+                self._alone(some)
+                continue
+            sizes = np.diff(np.append(first, len(ids)))
+            if joint != " ":  # the line ends go
+                ids, sizes = np.delete(ids, first), sizes - 1
+            self._add(some, ids, sizes)
+
+    def _learn(self, keys: list[str]) -> None:
+        """Ids of keys that aren't known.
 
         A key is a piece without the space before it; one without such a space starts with a line end
         or, at a text's start, with a zero. It is safe if, but for that, it neither starts nor ends with
         white space, for then texts may be cut before and after it.
         """
-        new = keys.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-            new = keys
-        if self.older:
-            again = {k: self.older[k] for k in new if k in self.older}
-            self.known.update(again)
-            new = new.difference(again)
-        first = list(new)
-        if not first:
-            return {}
-        # a mark after an ASCII letter is a token of its own: word and mark are looked up by themselves
-        marked = {k for k in first if k[-1:] in MARKS and (c := k[-2:-1]).isalpha() and c.isascii()}
+        spaced, bare, lines, marked, odd = [], [], [], [], []
+        for k in keys:
+            body = k[1:] if k[:1] in ("\0", "\n") else k
+            if not body or body[0].isspace() or body[-1].isspace():
+                self.known[k] = -1
+            elif " " in body or "\n" in body:
+                odd.append(k)
+            elif body[-1] in MARKS and (c := body[-2:-1]).isalpha() and c.isascii():
+                marked.append(k)  # a mark after an ASCII letter is a token of its own
+            else:
+                (spaced if body is k else bare if k[0] == "\0" else lines).append(k)
         if marked:
-            self._learn({k[:-1] for k in marked} | {"\0" + k[-1] for k in marked})
-            self.known.update({k: self.known[k[:-1]] + self.known["\0" + k[-1]] for k in marked if k[:-1] in self.known})
-            first = [k for k in first if k not in self.known]
-        found = dict(zip(first, self._encode([" " + k if k[:1] not in ("\0", "\n") else k.lstrip("\0") for k in first]), strict=True))
-        unsafe = {k: ids for k, ids in found.items() if not (body := k.lstrip("\0").removeprefix("\n")) or body[0].isspace() or body[-1].isspace()}
-        for k in unsafe:
-            del found[k]
-        self.known.update(found)
-        return unsafe
-
-    def _pieces(self, text: str) -> bool:
-        """Whether the ids of a text are those of its pieces; an added token's string may lie across them."""
-        return bool(text) and self.in_pieces and "\0" not in text and not any(x in text for x in self.added)
-
-    def _whole(self, text: str) -> bytes:
+            parts = {k[:-1] for k in marked} | {"\0" + k[-1] for k in marked}
+            self._learn(list(parts.difference(self.known, spaced, bare, lines, odd)))
+        if lines:
+            parts = {"\0" + k[1:] for k in lines}
+            self._learn(list(parts.difference(self.known, bare, odd)))
+        self._together(spaced, " ")
+        self._together(bare, "\n")
+        if odd:
+            self._alone(odd)
+        for first, then, of in ((lambda k: "\0\n", lambda k: "\0" + k[1:], lines), (lambda k: k[:-1], lambda k: "\0" + k[-1], marked)):
+            if of:
+                if of is lines and "\0\n" not in self.known:
+                    self._add(["\0\n"], np.array(self._encode(["\n"])[0], "<u4"), np.array([len(self._encode(["\n"])[0])]))
+                ids, sizes = self._gathered(np.array([r for k in of for r in (self.known[first(k)], self.known[then(k)])], np.int64))
+                self._add(of, ids, sizes[::2] + sizes[1::2])
+
+    def _rows(self, keys: list[str]) -> np.ndarray:
+        new = [k for k in keys if k not in self.known]
+        if new:
+            if len(self.known) + len(new) > REMEMBERED:
+                self._forget()
+                new = list(dict.fromkeys(keys))
+            self._learn(new)
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+
+    def _whole(self, text: str) -> np.ndarray:
         """A text with places that can't be cut: pieces between those that can, or all of it at once."""
-        if not self._pieces(text) or text[0] in " \n":  # here a key would leave out the wrong thing
-            return self._encode([text])[0] if text else b""
+        if not text:
+            return np.empty(0, "<u4")
+        if not self.in_pieces or "\0" in text or text[0] in " \n" or any(x in text for x in self.added):
+            return np.array(self._encode([text])[0], "<u4")  # an added token's string may lie across pieces
         keys = [p[1:] if p[0] == " " else p if p[0] == "\n" else "\0" + p for p in CUT.split(text)]
-        unsafe = self._learn(set(keys))
-        return b"".join(unsafe[k] if k in unsafe else self.known[k] for k in keys)
+        rows = self._rows(list(dict.fromkeys(keys)))
+        at = dict(zip(dict.fromkeys(keys), rows.tolist(), strict=True))
+        alone = {k: np.array(self._encode([" " + k if k[:1] not in ("\0", "\n") else k.lstrip("\0")])[0], "<u4") for k, r in at.items() if r < 0}
+        return np.concatenate([alone[k] if at[k] < 0 else self.ids[self.starts[at[k]] : self.starts[at[k] + 1]] for k in keys])
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, the end id included; what is new in all of them is encoded at once."""
-        pieces = [t.replace("\n", " \n").split(" ") if self._pieces(t) else None for t in texts]
-        for keys in pieces:
-            if keys is not None:
-                keys[0] = "\0" + keys[0]
-        self._learn(set().union(*[k for k in pieces if k is not None]))
-        out = []
-        for text, keys in zip(texts, pieces, strict=True):
-            try:
-                data = b"".join(map(self.known.__getitem__, keys)) if keys is not None else self._whole(text)
-            except KeyError:
-                data = self._whole(text)
-            out.append(np.frombuffer(data + self.end, "<u4"))
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        plain = pc.not_equal(texts, "") if self.in_pieces else pa.array([False] * len(texts))
+        for x in ("\0", *self.added):
+            plain = pc.and_not(plain, pc.match_substring(texts, x))
+        whole = ~plain.to_numpy(zero_copy_only=False)
+        marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.replace_substring(texts.filter(plain), "\n", " \n"), pa.scalar("", pa.large_string()))
+        pieces = pc.split_pattern(marked, " ")
+        coded = pieces.flatten().dictionary_encode()
+        rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        cut = np.flatnonzero(~whole)
+        unsafe = np.concatenate([[0], np.cumsum(rows < 0)])
+        whole[cut] = unsafe[starts[1:]] > unsafe[starts[:-1]]
+        ids, sizes = self._gathered(np.maximum(rows, 0)) if len(rows) else (np.empty(0, "<u4"), rows)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[starts]
+        out: list = [None] * len(texts)
+        for k, a, b in zip(cut.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = np.concatenate([ids[a:b], self.end])
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.concatenate([self._whole(texts[k].as_py()), self.end])
         return out
 
 
@@ -234,6 +309,17 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+def _together(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First rows and numbers of rows of runs of texts that are encoded together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, before + TOGETHER_BYTES, "right")) - at)
+        yield at, n
+        at += n
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Encodes every text, appends ``end_id`` and writes the files; returns ``part, uri, n_docs, n_tokens, start``.
 
@@ -252,15 +338,15 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_
         encode, out, uri = encoder(tokenizer_path, end_id), None, None
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
+            for at, rows in _together(batch.column(1)):
                 if out is None:
                     fs, path = pyarrow.fs.FileSystem.from_uri(into)
                     fs.create_dir(path, recursive=True)
                     name = f"part-{part:06d}-{uuid.uuid4().hex}.tokens"
                     uri = f"{into}/{name}"
                     out = Writer(fs.open_output_stream(f"{path}/{name}"), bits_for(encode.vocabulary))
-                some = batch.slice(at, TOGETHER)
-                for name, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                some = batch.slice(at, rows)
+                for name, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                     out.add(name, ids)
         if out is not None:
             out.close()
@@ -268,7 +354,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = stored(dealt.mapInArrow(run, "part long, uri string, n_docs long, n_tokens long"), "token-files")
+    files = stored(dealt.mapInArrow(tidy(run), "part long, uri string, n_docs long, n_tokens long"), "token-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
