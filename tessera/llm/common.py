@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again.
 
     The lineage ends there: a lost executor costs no recomputation of what came before, and values
@@ -45,7 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -63,8 +63,17 @@ def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = run_index.dedup(read(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    covered = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        covered("spans").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("kept_bytes"),
+        F.size("passages").cast("long").alias("n_passages"),
+        covered("passages").alias("passage_bytes"),
+    )
 
 
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """Removal of long repeated byte strings by a run-length index.
 
 Every string of ``length`` bytes that starts at two places or more is found, exactly, whatever the size
-of the corpus, and all bytes that such strings cover are marked.
+of the corpus, and all bytes that such strings cover are marked; so are, apart, those of shorter repeated
+``passage`` strings, which are reported and not removed.
 
 Dealing out. The least hash among the ``GRAM``-byte grams of a window depends on the window's bytes
-alone, so equal windows have the same one. Each text is cut into segments of consecutive windows with
-the same least hash, and segments meet by that hash. Segments whose hash stands nowhere else are done.
-Equal segments are counted before they are shuffled. A hash with too much different text is split by
-what the windows at one offset from the hashed gram must have in common.
+alone, so equal windows have the same one. Consecutive windows with the same least hash are a segment of
+a text; a segment of long windows holds those of short ones with its hash. Segments meet by that hash.
+Segments whose hash stands nowhere else are done. Equal segments are counted before they are shuffled.
+A hash with too much different text is split by what the windows at one offset from the hashed gram must
+have in common.
 
 Index. The segments that meet form one text, each with an end of its own. Its Burrows-Wheeler transform
-is compressed to runs, and the suffix array is kept at both ends of the runs only, with the length of
-the match to the neighbouring suffix. Between such samples a match only loses its first byte from one
-place to the next, so streaming over the text gives the matching statistics of each place against all
-other places; where they reach ``length``, the window is repeated.
+is cut into runs of equal letters, and the suffix array is kept at both ends of the runs only, with the
+length of the match to the neighbouring suffix. Within a run a match only loses its first byte from one
+place of the text to the next, so streaming over the text from sample to sample gives the matching
+statistics of each place against all other places; where they reach ``length``, the window is repeated.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import shuffle_partitions, stored
+from tessera.llm.common import shuffle_partitions, stored, tidy
 
 #: Bytes of a gram; of segments in one index; of different segments of a hash beyond which it is split.
-GRAM, INDEX_BYTES, HOT_BYTES = 128, 1 << 20, 6 << 20
+GRAM, INDEX_BYTES, HOT_BYTES = 64, 1 << 20, 6 << 20
 #: Offsets that stay together as a hot hash is split again and again.
 WIDTHS = (64, 16, 4, 1)
+#: Of which length a segment's windows are asked for: one of the two by number, or both. How tables between steps are kept.
+BOTH, ZSTD = -1, "zstd"
+LEVEL = ["g", "h", "part", "off", "n", "sub", "which", "bytes"]
 
 
 def _grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -53,20 +58,48 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first window, last window, and whether the hash occurs twice, of each segment of a text."""
-    if len(text) < length:
+def _stretches(data: np.ndarray, offsets: np.ndarray, grams: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, ...]:
+    """Text, hash, first byte and end of each run of windows of ``length`` bytes with the same least hash."""
+    if len(data) < length:
         none = np.empty(0, np.int64)
-        return none, none, none, none.astype(bool)
-    gram = min(GRAM, length)
-    grams = _grams(np.frombuffer(text, np.uint8), gram)
-    w = length - gram + 1
-    least = _sliding_least(grams, w)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.append(first[1:], len(least)) - 1
-    h = least[first]
-    twice = np.fromiter((np.count_nonzero(grams[a : b + w] == x) > 1 for a, b, x in zip(first, last, h, strict=True)), bool, len(h))
-    return h.view(np.int64), first, last, twice
+        return none, none.view(np.uint64), none, none
+    least = _sliding_least(grams, length - gram + 1)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(np.arange(len(least)) + length <= offsets[of[: len(least)] + 1])
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]]) | (of[at[1:]] != of[at[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return of[at[first]], least[at[first]], at[first], at[last] + length
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Text, hash, first byte, end, and whether the hash may occur twice there, of each segment of the texts.
+
+    Segments of one text with one hash that overlap are one, so no place stands twice for a hash.
+    """
+    gram = min(GRAM, *lengths)
+    grams = _grams(data, gram) if len(data) >= gram else np.empty(0, np.uint64)
+    text, h, a, b = (np.concatenate(x) for x in zip(*(_stretches(data, offsets, grams, gram, n) for n in lengths), strict=True))
+    order = np.lexsort((a, h, text))
+    text, h, a, b = text[order], h[order], a[order], b[order]
+    same = np.zeros(len(h), bool)
+    same[1:] = (text[1:] == text[:-1]) & (h[1:] == h[:-1])
+    reach = np.maximum.accumulate(b + np.cumsum(~same) * (len(data) + 1)) - np.cumsum(~same) * (len(data) + 1)
+    new = ~same
+    new[1:] |= a[1:] >= reach[:-1]
+    first = np.flatnonzero(new)
+    b = reach[np.append(first[1:], len(h))[: len(first)] - 1]
+    text, h, a = text[first], h[first], a[first]
+    # a hash that occurs twice in a text is among the least ones there both times
+    most = np.zeros(len(offsets), np.uint64)
+    np.maximum.at(most, text, h)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(grams)]
+    low = np.flatnonzero(grams <= most[of])
+    salt = shingles.mix(np.arange(len(offsets), dtype=np.uint64) + np.uint64(1))
+    found = np.sort(grams[low] ^ salt[of[low]])
+    again = np.unique(found[1:][found[1:] == found[:-1]])
+    return text, h.view(np.int64), a - offsets[text], b - offsets[text], np.isin(h ^ salt[text], again)
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -77,13 +110,14 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     n = len(text)
     bits = max(1, (n + 1).bit_length())
     base = int(text.max()) + 2
+    k = next(x for x in (4, 2, 1) if base**x < 1 << 62)
     key = np.zeros(n, np.int64)
-    for j in range(4):
+    for j in range(k):
         key = key * base
-        key[: n - j] += text[j:].astype(np.int64) + 1
+        key[: n - j] += text[j:] + 1
     order = np.argsort(key)
     ordered = key[order]
-    k, ranks = 4, {}
+    ranks = {}
     while True:
         rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.int32)
@@ -112,27 +146,31 @@ def _common(a: np.ndarray, b: np.ndarray, ranks: dict[int, np.ndarray]) -> np.nd
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of some segments, with samples at both ends of the runs."""
+    """Run-compressed Burrows-Wheeler transform of some segments, with samples at both ends of the runs.
 
-    def __init__(self, parts: list[bytes]):
+    Segments of different ``groups`` (numbers from 0) have different letters and match nowhere.
+    """
+
+    def __init__(self, parts: list[bytes], groups: list[int] | None = None):
         count = len(parts)
         sizes = np.array([len(p) + 1 for p in parts])
         ends = np.cumsum(sizes) - 1
-        text = np.empty(int(sizes.sum()), np.int32)
+        text = np.empty(int(sizes.sum()), np.int64)
         inside = np.ones(len(text), bool)
         inside[ends] = False
-        text[inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int32) + count
+        text[inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + count
+        text[inside] += 256 * np.repeat(groups or [0] * count, sizes - 1)
         text[ends] = np.arange(count)
         self.starts = ends - sizes + 1
         self.n = len(text)
         order, ranks = suffix_array(text)
         before = np.where(order > 0, text[order - 1], -1)
         heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        self.run_letters, self.run_lengths = before[heads], np.diff(np.append(heads, self.n))
+        self.runs = len(heads)
         tails = np.append(heads[1:], self.n) - 1
         # at a run's first suffix the match with the one before, at its last that with the one after
         heads, tails = heads[heads > 0], tails[tails < self.n - 1]
-        ranks[1], ranks[2] = text, _pairs(text)
+        ranks |= {1: text, 2: _pairs(text)}
         self.samples = []
         for at, other in ((heads, heads - 1), (tails, tails + 1)):
             place = order[at]
@@ -153,16 +191,16 @@ class RunIndex:
 
 
 def _pairs(text: np.ndarray) -> np.ndarray:
-    out = text.astype(np.int64) * (int(text.max()) + 2)
+    out = text * (int(text.max()) + 2)
     out[:-1] += text[1:] + 1
     return out
 
 
-def repeated(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each of the different parts, which of its windows start at another place as well."""
-    index = RunIndex(parts)
-    long = index.matching() >= length
-    return [long[a : a + len(p) - length + 1] for a, p in zip(index.starts, parts, strict=True)]
+def repeated(parts: list[bytes], groups: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each length and part, which of its windows start at another place of its group as well."""
+    index = RunIndex(parts, groups)
+    matching = index.matching()
+    return [[matching[a : a + max(0, len(p) - n + 1)] >= n for a, p in zip(index.starts, parts, strict=True)] for n in lengths]
 
 
 def _runs(marks: np.ndarray) -> tuple[list[int], list[int]]:
@@ -174,17 +212,16 @@ def _digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _segment_rows(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for doc_id, th, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            h, first, last, twice = segments(text.encode(), length)
-            for column, x in zip(out, ([doc_id] * len(h), [th] * len(h), h.tolist(), (1 + twice).tolist(), first.tolist(), last.tolist()), strict=True):
-                column.extend(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "th", "h", "times", "first", "last"])
+        doc_id, th = batch.column(0), batch.column(1).to_numpy()
+        for at, _, data, offsets in shingles.chunks(batch.column(2)):
+            text, h, a, b, twice = segments(data, offsets, lengths)
+            columns = [doc_id.take(pa.array(text + at)), *map(pa.array, (th[text + at], h, 1 + twice.astype(np.int32), a.astype(np.int32), b.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "h", "times", "first", "end"])
 
 
-def _part_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of candidate segments; equal ones of a task carry them once (as far as it remembers)."""
     told: set[tuple[int, int]] = set()
     names = ["doc_id", "th", "h", "part", "first", "bytes"]
@@ -195,7 +232,7 @@ def _part_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
         for doc_id, th, text, segs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             data = text.encode()
             for s in segs:
-                body = data[s["first"] : s["last"] + length]
+                body = data[s["first"] : s["end"]]
                 key = (s["h"], _digest(body))
                 for column, x in zip(out, (doc_id, th, s["h"], key[1], s["first"], None if key in told else body), strict=True):
                     column.append(x)
@@ -209,137 +246,154 @@ def _part_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
 
-def _split(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Segments of a hot hash, cut by their windows' offset to the hashed gram.
+def _split(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], width: int) -> Iterator[pa.RecordBatch]:
+    """Segments of a hot hash, cut for each length by their windows' offset to the hashed gram.
 
     Windows whose offsets lie in one range of ``width`` share the bytes that all such windows have;
-    only where these are equal can the windows be.
+    only where these are equal can the windows be. Windows without the gram are another hash's.
     """
-    gram = min(GRAM, length)
+    gram = min(GRAM, *lengths)
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], []]
-        for g, h, part, off, n, _, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        out: list[list] = [[] for _ in LEVEL]
+        for g, h, part, off, n, _, which, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             grams = _grams(np.frombuffer(body, np.uint8), gram).view(np.int64)
-            places = np.flatnonzero(grams == h)
-            windows = np.arange(len(body) - length + 1)
-            own = places[np.searchsorted(places, windows)]
-            bucket = (own - windows) // width
-            edges = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])]))
-            for a, b in zip(edges.tolist(), [*(edges[1:] - 1).tolist(), len(windows) - 1], strict=True):
-                p, k = int(own[a]), int(bucket[a])
-                core = body[p - k * width : p - (k * width + width - 1) + length]
-                sub = body[a : b + length]
-                for column, x in zip(out, (_digest(b"%d %d %d " % (g, width, k) + core), h, part, off + a, n, _digest(sub), sub), strict=True):
-                    column.append(x)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["g", "h", "part", "off", "n", "sub", "bytes"])
-
-
-def _indexed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+            places = np.append(np.flatnonzero(grams == h), len(body))
+            for k, length in enumerate(lengths):
+                if which not in (BOTH, k) or len(body) < length:
+                    continue
+                windows = np.arange(len(body) - length + 1)
+                own = places[np.searchsorted(places, windows)]
+                bucket = np.where(own - windows <= length - gram, (own - windows) // width, -1)
+                edges = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])]))
+                for a, b in zip(edges.tolist(), [*(edges[1:] - 1).tolist(), len(windows) - 1], strict=True):
+                    p, o = int(own[a]), int(bucket[a])
+                    if o < 0:
+                        continue
+                    core = body[p - o * width : p - (o * width + width - 1) + length]
+                    sub = body[a : b + length]
+                    for column, x in zip(out, (_digest(b"%d %d %d %d " % (g, k, width, o) + core), h, part, off + a, n, _digest(sub), k, sub), strict=True):
+                        column.append(x)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], LEVEL)
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of the segments, from rows sorted by group and content; an index for some groups each."""
 
-    copies: list[tuple[bytes, list]] = []
+    copies: list[tuple[tuple, list]] = []
 
     def settle(own: dict, rows: dict) -> int:
         """A group goes to the index; one whose segments are all equal is repeated as a whole already."""
         if len(own) == 1 and sum(x[3] for x in next(iter(own.values()))) > 1:
-            copies.append((next(iter(own))[1], next(iter(own.values()))))
-            return len(copies[-1][0]) // 8
+            copies.append(next(iter(own.items())))
+            return len(copies[-1][0][2]) // 8
         rows.update(own)
-        return sum(len(k[1]) for k in own)
+        return sum(len(k[2]) for k in own)
 
     def flush(rows: dict) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], []]
-        bodies = [k[1] for k in rows]
-        marked = [*zip(repeated(bodies, length) if bodies else [], bodies, rows.values(), strict=True), *((None, *c) for c in copies)]
+        out: list[list] = [[], [], [], [], []]
+        number: dict[int, int] = {}
+        groups = [number.setdefault(k[0], len(number)) for k in rows]
+        marked = repeated([k[2] for k in rows], groups, lengths) if rows else [[]] * len(lengths)
+        for k, length in enumerate(lengths):
+            for marks, ((_, which, body), owners) in (*zip(marked[k], rows.items(), strict=True), *((None, c) for c in copies)):
+                if which not in (BOTH, k) or len(body) < length:
+                    continue
+                if sum(x[3] for x in owners) > 1:
+                    marks = np.ones(len(body) - length + 1, bool)
+                a, b = _runs(marks)
+                for h, part, off, _ in owners if a else ():
+                    for column, x in zip(out, (h, part, k, [off + x for x in a], [off + x + length for x in b]), strict=True):
+                        column.append(x)
         copies.clear()
-        for marks, body, owners in marked:
-            if sum(x[3] for x in owners) > 1:
-                marks = np.ones(len(body) - length + 1, bool)
-            a, b = _runs(marks)
-            for h, part, off, _ in owners if a else ():
-                for column, x in zip(out, (h, part, [off + x for x in a], [off + x for x in b]), strict=True):
-                    column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())], strict=True)], ["h", "part", "a", "b"])
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["h", "part", "which", "a", "b"])
 
-    rows: dict[tuple[int, bytes], list] = {}
-    own: dict[tuple[int, bytes], list] = {}
+    rows: dict[tuple[int, int, bytes], list] = {}
+    own: dict[tuple[int, int, bytes], list] = {}
     group, held = None, 0
     for batch in batches:
-        for g, h, part, off, n, _, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for g, h, part, off, n, _, which, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if g != group:
                 held += settle(own, rows)
                 own, group = {}, g
                 if held > INDEX_BYTES:
                     yield from flush(rows)
                     rows, held = {}, 0
-            own.setdefault((g, body), []).append((h, part, off, n))
+            own.setdefault((g, which, body), []).append((h, part, off, n))
     settle(own, rows)
     if rows or copies:
         yield from flush(rows)
 
 
-def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Covered bytes of a text by length; those of the first length go."""
+
+    def covered(marks: list | None, which: int, n: int) -> np.ndarray:
+        cover = np.zeros(n + 1, np.int32)
+        for m in marks or ():
+            if m["which"] == which:
+                np.add.at(cover, np.array(m["a"], np.int64), 1)
+                np.add.at(cover, np.array(m["b"], np.int64), -1)
+        return np.cumsum(cover[:-1]) > 0
+
     for batch in batches:
-        spans, kept = [], []
-        for text, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+        found: tuple[list, list] = ([], [])
+        sizes, kept = [], []
+        for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data = text.encode()
-            cover = np.zeros(len(data) + 1, np.int32)
-            for xs, ys in zip(a or (), b or (), strict=True):
-                np.add.at(cover, np.array(xs, np.int64), 1)
-                np.add.at(cover, np.array(ys, np.int64) + length, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            first, last = _runs(gone)
-            spans.append([{"start": x, "end": y + 1} for x, y in zip(first, last, strict=True)])
-            kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if first else data)
+            for which, spans in enumerate(found):
+                gone = covered(marks, which, len(data)) if marks else np.zeros(0, bool)
+                first, last = _runs(gone)
+                spans.append([{"start": x, "end": y + 1} for x, y in zip(first, last, strict=True)])
+                if which == 0:
+                    sizes.append(len(data))
+                    kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if first else data)
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode()) for x in batch.column(1).to_pylist()], pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found[0], spans_type), pa.array(kept, pa.binary()), pa.array(found[1], spans_type)], ["doc_id", "n_bytes", "spans", "kept", "passages"])
 
 
-def dedup(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, spans, kept`` for each row: the removed byte spans, ascending, and the bytes left.
+def dedup(docs: DataFrame, length: int = 400, passage: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, spans, kept, passages`` for each row: the removed byte spans, ascending, the bytes left, and repeats.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same
-    text or another; strings never cross texts and are judged on the input. A null text counts as
-    empty; a text shorter than ``length`` is kept whole. Equal rows repeat each other. A null id is
-    kept. Other columns play no part; an empty table gives an empty result.
+    text or another; strings never cross texts and are judged on the input. ``passages`` are the spans
+    of what strings of ``passage`` bytes cover in the same way; they stay unless they go by ``length``.
+    A null text counts as empty; a text shorter than ``length`` is kept whole. Equal rows repeat each
+    other. A null id is kept. Other columns play no part; an empty table gives an empty result.
     """
-    n = shuffle_partitions(docs.sparkSession)
+    n, lengths = shuffle_partitions(docs.sparkSession), (length, passage)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     own = "doc_id long, th long, "
-    found = rows.select("doc_id", "th", "text").mapInArrow(lambda x: _segment_rows(x, length), own + "h long, times int, first int, last int")
-    found = stored(found, "run-segments")
+    found = rows.select("doc_id", "th", "text").mapInArrow(tidy(lambda x: _segment_rows(x, lengths)), own + "h long, times int, first int, end int")
+    found = stored(found, "run-segments", ZSTD)
     again = found.groupBy("h").agg(F.sum("times").alias("times")).where("times > 1").select("h")
-    again = stored(found.join(again, "h").select("doc_id", "th", F.struct("h", "first", "last").alias("s")), "run-again")
+    again = stored(found.join(again, "h").select("doc_id", "th", F.struct("h", "first", "end").alias("s")), "run-again", ZSTD)
     wanted = again.groupBy("doc_id", "th").agg(F.collect_set("s").alias("segs"))  # a text's own segments
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
     parts = rows.alias("r").join(wanted.alias("w"), same("r", "w")).select("r.doc_id", "r.th", "r.text", "w.segs")
-    parts = stored(parts.mapInArrow(lambda x: _part_rows(x, length), own + "h long, part long, first int, bytes binary"), "run-parts")
+    parts = stored(parts.mapInArrow(tidy(_part_rows), own + "h long, part long, first int, bytes binary"), "run-parts", ZSTD)
 
-    schema = "g long, h long, part long, off int, n long, sub long, bytes binary"
+    schema = "g long, h long, part long, off int, n long, sub long, which int, bytes binary"
     per = parts.groupBy("h", "part").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
-    level = stored(per.select(F.col("h").alias("g"), "h", "part", F.lit(0).alias("off"), "n", F.col("part").alias("sub"), "bytes"), "run-level")
+    level = stored(per.select(F.col("h").alias("g"), "h", "part", F.lit(0).alias("off"), "n", F.col("part").alias("sub"), F.lit(BOTH).alias("which"), "bytes"), "run-level", ZSTD)
     results = []
     for width in (*WIDTHS, None):
         different = level.groupBy("g", "sub").agg(F.max(F.length("bytes")).cast("long").alias("size")).groupBy("g").agg(F.sum("size").alias("size"))
         hot = stored(different.where(F.col("size") > HOT_BYTES).select("g"), "run-hot") if width else None
         there = hot is not None and not hot.isEmpty()
         cold = level.join(hot, "g", "left_anti") if there else level
-        dealt = cold.select(_names(schema)).repartition(n, "g").sortWithinPartitions("g", "sub")
-        results.append(stored(dealt.mapInArrow(lambda x: _indexed(x, length), "h long, part long, a array<int>, b array<int>"), "run-repeats"))
+        dealt = cold.select(LEVEL).repartition(n, "g").sortWithinPartitions("g", "sub")
+        results.append(stored(dealt.mapInArrow(tidy(lambda x: _indexed(x, lengths)), "h long, part long, which int, a array<int>, b array<int>"), "run-repeats", ZSTD))
         if not there:
             break
-        cut = level.join(hot, "g", "left_semi").select(_names(schema))
-        level = stored(cut.mapInArrow(lambda x, w=width: _split(x, length, w), schema), "run-level")
+        cut = level.join(hot, "g", "left_semi").select(LEVEL)
+        level = stored(cut.mapInArrow(tidy(lambda x, w=width: _split(x, lengths, w)), schema), "run-level", ZSTD)
     marks = results[0]
     for x in results[1:]:
         marks = marks.unionByName(x)
-    first = lambda c: F.transform(c, lambda x: x + F.col("first"))
-    placed = parts.select("doc_id", "th", "h", "part", "first").join(marks, ["h", "part"]).select("doc_id", "th", first("a").alias("a"), first("b").alias("b"))
-    spans = placed.groupBy("doc_id", "th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    whole = rows.alias("r").join(spans.alias("s"), same("r", "s"), "left").select("r.doc_id", "r.text", "s.a", "s.b")
-    return whole.mapInArrow(lambda x: _kept(x, length), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
-
-
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+    first = lambda c: F.transform(c, lambda x: x + F.col("first")).alias(c)
+    placed = parts.select("doc_id", "th", "h", "part", "first").join(marks, ["h", "part"]).select("doc_id", "th", F.struct("which", first("a"), first("b")).alias("m"))
+    spans = placed.groupBy("doc_id", "th").agg(F.collect_list("m").alias("marks"))  # a text's own marks
+    whole = rows.alias("r").join(spans.alias("s"), same("r", "s"), "left").select("r.doc_id", "r.text", "s.marks")
+    return whole.mapInArrow(tidy(_kept), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, passages array<struct<start:int,end:int>>")

@@ -82,8 +82,8 @@ def of_texts(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.nd
             yield np.empty(0, np.uint64)
 
 
-def of_column(texts: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
-    """The texts of an Arrow column (no nulls) in order, some of them at a time."""
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The texts of an Arrow column (no nulls), some of them at a time: first, end, bytes and offsets in them."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     if not len(texts):
         return
@@ -95,10 +95,16 @@ def of_column(texts: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
         b = min(b, len(texts))
         own = offsets[a : b + 1]
-        yield list(of_texts(data[own[0] : own[-1]], own - own[0], size))
+        yield a, b, data[own[0] : own[-1]], own - own[0]
         a = b
 
 
+def of_column(texts: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
+    """The texts of an Arrow column (no nulls) in order, some of them at a time."""
+    for _, _, data, offsets in chunks(texts):
+        yield list(of_texts(data, offsets, size))
+
+
 def of_bytes(text: bytes, size: int) -> np.ndarray:
     data = np.frombuffer(text, np.uint8)
     return next(of_texts(data, np.array([0, len(data)]), size))

@@ -23,19 +23,25 @@ def brute(rows, length):
     return sorted(out, key=repr)
 
 
-def got(df, length):
-    return sorted(((r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in ri.dedup(df, length).collect()), key=repr)
+def both(rows, length, passage):
+    """What goes, and what the shorter strings cover."""
+    return [(*x, y[2]) for x, y in zip(brute(rows, length), brute(rows, passage), strict=True)]
 
 
-@pytest.mark.parametrize("length", [400, 60])
-def test_against_every_string(docs, corpus, length):
-    assert got(docs, length) == brute(corpus, length)
+def got(df, length, passage):
+    spans = lambda r, c: [(s["start"], s["end"]) for s in r[c]]
+    return sorted(((r["doc_id"], r["n_bytes"], spans(r, "spans"), bytes(r["kept"]), spans(r, "passages")) for r in ri.dedup(df, length, passage).collect()), key=lambda r: repr(r[:4]))
+
+
+@pytest.mark.parametrize(("length", "passage"), [(400, 256), (60, 30), (60, 60)])
+def test_against_every_string(docs, corpus, length, passage):
+    assert got(docs, length, passage) == both(corpus, length, passage)
 
 
 def test_small_strings_and_periods(spark):
     rng = random.Random(3)
     rows = [(k, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 60)))) for k in range(60)] + [(100, "abc" * 40), (101, "a" * 50), (102, "é" * 30)]
-    assert got(table(spark, rows), 12) == brute(rows, 12)
+    assert got(table(spark, rows), 12, 8) == both(rows, 12, 8)
 
 
 def test_a_passage_in_very_many_texts(spark, monkeypatch):
@@ -45,13 +51,13 @@ def test_a_passage_in_very_many_texts(spark, monkeypatch):
     rng = random.Random(4)
     passage = sentence(rng, 40)
     rows = [(k, sentence(rng, rng.randrange(3, 12)) + " " + passage + " " + sentence(rng, rng.randrange(3, 12))) for k in range(120)] + [(500, passage), (501, "z" * 300)]
-    assert got(table(spark, rows), 60) == brute(rows, 60)
+    assert got(table(spark, rows), 60, 40) == both(rows, 60, 40)
 
 
 def test_odd_rows(odd, nothing):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    assert got(odd, 5) == brute(rows, 5)
-    assert got(nothing, 400) == []
+    assert got(odd, 5, 3) == both(rows, 5, 3)
+    assert got(nothing, 400, 256) == []
 
 
 def naive_matching(text, ends):
@@ -79,14 +85,13 @@ def test_matching_statistics_from_sampled_run_ends():
             at.append(len(text))
             text += [x + 1000 for x in p] + [k]
         assert index.matching().tolist() == naive_matching(text, at)
-        assert int(index.run_lengths.sum()) == len(text) and (np.diff(index.run_letters) != 0).all()
 
 
 def test_repetitive_text_has_few_runs():
     rng = random.Random(6)
     base = sentence(rng, 300).encode()
     many = ri.RunIndex([base + b"%d" % k for k in range(50)])
-    assert len(many.run_letters) < many.n / 15
+    assert many.runs < many.n / 15
 
 
 def test_sliding_least():
@@ -96,12 +101,21 @@ def test_sliding_least():
         assert ri._sliding_least(x, w).tolist() == [int(x[i : i + w].min()) for i in range(n - w + 1)]
 
 
-def test_segments_cover_all_windows_and_equal_windows_agree():
+def test_segments_hold_all_windows_and_equal_windows_meet():
     rng = random.Random(8)
-    text = ("ab" * 300 + sentence(rng, 200) + "c" * 700).encode()
-    h, first, last, _ = ri.segments(text, 200)
-    assert first[0] == 0 and last[-1] == len(text) - 200 and (first[1:] == last[:-1] + 1).all()
-    of = {}
-    for x, a, b in zip(h, first, last, strict=True):
-        for s in range(a, b + 1):
-            assert of.setdefault(text[s : s + 200], x) == x
+    made = [("ab" * 300 + sentence(rng, 200) + "c" * 700).encode(), sentence(rng, 90).encode(), b"", b"x" * 150, b"short"]
+    data, offsets = np.frombuffer(b"".join(made), np.uint8), np.cumsum([0, *map(len, made)])
+    text, h, a, b, twice = ri.segments(data, offsets, (200, 100))
+    own = {}
+    for t, x, i, j in zip(text, h, a, b, strict=True):
+        own.setdefault((t, x), []).append((i, j))
+    for spans in own.values():
+        assert all(j <= k for (_, j), (k, _) in zip(spans, spans[1:], strict=False))
+    for n in (200, 100):
+        met = {}
+        for t, body in enumerate(made):
+            for s in range(len(body) - n + 1):
+                hashes = {x for (k, x), spans in own.items() if k == t and any(i <= s and s + n <= j for i, j in spans)}
+                met.setdefault(body[s : s + n], []).append(hashes)
+        assert all(set.intersection(*x) for x in met.values())
+    assert twice[text == 3].all() and twice[(text == 0) & (a == 0)].any() and not twice[text == 1].any()
