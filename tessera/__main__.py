@@ -8,12 +8,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schema
-from tessera.operators import evaluate, pipeline, policy, redact
+from tessera.operators import evaluate, jobs, pipeline, policy, redact
 from tessera.sources import ingest, sinks
 
 
 def _policy(pairs: list[str]) -> dict[str, str]:
-    out = dict(p.split("=", 1) for p in pairs)
+    """Pseudonyms for every type; a strategy alone is for all of them, ``TYPE=STRATEGY`` for one."""
+    out = jobs.default_policy()
+    for p in pairs:
+        kind, _, strategy = p.rpartition("=")
+        out |= {kind: strategy} if kind else dict.fromkeys(schema.TYPES, strategy)
     if unknown := set(out) - set(schema.TYPES) or set(out.values()) - set(schema.STRATEGIES):
         raise SystemExit(f"unknown type or strategy: {sorted(unknown)}")
     return out
@@ -30,7 +34,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         p.add_argument("--text", default="text")
         p.add_argument("--types", nargs="*", default=list(schema.TYPES))
         if name == "redact":
-            p.add_argument("--strategy", nargs="*", default=[], metavar="TYPE=STRATEGY")
+            p.add_argument("--strategy", nargs="*", default=[], metavar="[TYPE=]STRATEGY")
+            p.add_argument("--reviews", help="Parquet of reviews: entity_id, decision, new_pii_type, reviewed_at")
             p.add_argument("--floor", type=float, default=schema.CONFIDENCE_FLOOR)
     p = commands.add_parser("evaluate")
     p.add_argument("ground_truth", help="entity JSON")
@@ -41,13 +46,14 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.command == "evaluate":
         both = [ingest.load_entities(spark.read.text(x, wholetext=True).withColumnRenamed("value", "payload")) for x in (a.ground_truth, a.predictions)]
         matches = evaluate.match_best_overlap(*both)
-        print(sinks.write_reports(evaluate.report(matches), evaluate.confusion(matches), a.output)["md"])
+        print(sinks.write_reports(evaluate.report(matches), evaluate.confusion(matches), a.output, matches=matches)["md"])
         return
     docs = spark.read.parquet(a.input).select(F.col(a.id).alias("doc_id"), F.col(a.text).alias("text"))
     if a.command == "detect":
         pipeline.detect_pii(docs, a.types).write.mode("overwrite").parquet(a.output)
         return
-    done = redact.redact(policy.approved(pipeline.with_entities(docs, a.types), _policy(a.strategy), a.floor))
+    reviews = spark.read.parquet(a.reviews) if a.reviews else None
+    done = redact.redact(policy.approved(pipeline.with_entities(docs, a.types), _policy(a.strategy), a.floor, reviews=reviews))
     done.select("doc_id", "redacted", "plan").write.mode("overwrite").parquet(f"{a.output}/texts")
     written = spark.read.parquet(f"{a.output}/texts")
     sinks.write_artifacts(redact.audit_log(written), f"{a.output}/artifacts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schema
@@ -18,6 +18,48 @@ def recent(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.col("created_at").desc(), "id")
 
 
+def policies_by_time(policies: DataFrame) -> DataFrame:
+    """Earliest first; policies of the same time by id."""
+    return policies.orderBy("created_at", "id")
+
+
+def completed(jobs: DataFrame) -> DataFrame:
+    """Jobs that ended well."""
+    return jobs.where(F.col("status") == "completed")
+
+
+def with_lookups(jobs: DataFrame, policies: DataFrame, documents: DataFrame) -> DataFrame:
+    """Jobs with their policy's name and floor and their document's name; null where a reference leads nowhere."""
+    p = policies.select(F.col("id").alias("policy_id"), F.col("name").alias("policy_name"), "confidence_floor")
+    d = documents.select(F.col("id").alias("document_id"), "filename")
+    return jobs.join(p, "policy_id", "left").join(d, "document_id", "left")
+
+
+# Which state may follow which.
+NEXT = {"queued": ("detecting",), "detecting": ("needs_review",), "needs_review": ("redacting",), "redacting": ("completed",), "completed": (), "failed": ()}
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """``job_id, status, error``: each job's state after its events in order (time, then state).
+
+    An event (``job_id, ts, status, error``) counts if its state may follow the present one; every job
+    begins as queued, and any state but an end state may fail, with the event's error text. Others are
+    passed over. A null state never counts.
+    """
+    steps = F.array_sort(F.collect_list(F.struct("ts", "status", "error")))  # a job's own events
+
+    def step(now: Column, e: Column) -> Column:
+        good = F.lit(False)
+        for state, then in NEXT.items():
+            if then:
+                good = good | ((now["status"] == state) & e["status"].isin(*then, "failed"))
+        return F.when(good, F.struct(e["status"].alias("status"), F.when(e["status"] == "failed", e["error"]).alias("error"))).otherwise(now)
+
+    first = F.struct(F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"))
+    per = events.groupBy("job_id").agg(steps.alias("_steps"))
+    return per.select("job_id", F.aggregate("_steps", first, step).alias("s")).select("job_id", "s.status", "s.error")
+
+
 def statuses(events: DataFrame) -> DataFrame:
     """Each job's present state, that of its latest event."""
     return events.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("since"))
@@ -77,7 +119,7 @@ def dictionary_matches(docs: DataFrame, needles: DataFrame, doc_id: str = "doc_i
 
     def search(acc, n):
         # pieces between occurrences give the places; those that cut a word or a taken place don't count
-        parts = F.split(F.col(text), F.concat(F.lit("\\Q"), n, F.lit("\\E")), -1)
+        parts = F.split(F.col(text), F.concat(F.lit("\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
         step = lambda a, p: F.struct((a["at"] + F.length(p) + F.length(n)).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(p))).alias("out"))
         starts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda a: F.slice(a["out"], 1, F.size(parts) - 1))
         from tessera.functions.spans import word_safe

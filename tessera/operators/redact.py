@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import spans
 
 PLAN = "array<struct<entity_id:string,type:string,start:int,end:int,original:string,replacement:string,source:string,confidence:double>>"
+# The layouts in which a birth date is read, and the texts that stand for what was there.
 DATE_LAYOUTS = ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy")
 
 
@@ -49,6 +50,12 @@ def replacement(strategy: Column, kind: Column, value: Column, pseudonym: Column
     return F.when(strategy == "generalize", generalize(kind, value, as_of)).when(strategy == "pseudonymize", fake).otherwise(mask(kind))
 
 
+def in_order(approved: Column) -> Column:
+    """Spans by start, the longer first, then by id."""
+    keyed = F.transform(approved, lambda e: F.struct(e["start"].alias("s"), (-(e["end"] - e["start"])).alias("l"), e["entity_id"].alias("i"), e.alias("e")))
+    return F.transform(F.array_sort(keyed), lambda r: r["e"])
+
+
 def plan(text: Column, approved: Column, black_box_as_empty: bool = False) -> Column:
     """The replacements of one document, in order, from ``array<struct<entity_id, type, start, end, text,
     strategy, replacement, source, confidence>>``.
@@ -58,11 +65,6 @@ def plan(text: Column, approved: Column, black_box_as_empty: bool = False) -> Co
     for all its places in the document. With ``black_box_as_empty`` black boxes leave an empty text and
     are ``[BLACK-BOX]`` in the map.
     """
-    ordered = F.transform(
-        F.array_sort(F.transform(approved, lambda e: F.struct(e["start"].alias("s"), (-(e["end"] - e["start"])).alias("l"), e["entity_id"].alias("i"), e.alias("e")))),
-        lambda r: r["e"],
-    )
-
     def add(planned: Column, e: Column) -> Column:
         original = clean(e["text"])
         box = (e["strategy"] == "black_box") if black_box_as_empty else F.lit(False)
@@ -72,19 +74,19 @@ def plan(text: Column, approved: Column, black_box_as_empty: bool = False) -> Co
         free = ~F.exists(planned, lambda p: spans.overlaps(e, p)) & spans.word_safe(text, e["start"], e["end"])
         return F.when(free, F.concat(planned, F.array(row))).otherwise(planned)
 
-    return F.aggregate(ordered, F.array().cast(PLAN), add)
+    return F.aggregate(in_order(approved), F.array().cast(PLAN), add)
 
 
 def rewrite(text: Column, planned: Column, black_box: str | None = None) -> Column:
     """The text with the planned spans replaced; pieces between them stay. ``black_box`` is what the map's
     ``[BLACK-BOX]`` becomes in the text, if not itself."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, p: Column) -> Column:
+    def part(p: Column, i: Column) -> Column:
         new = p["replacement"] if black_box is None else F.when(p["replacement"] == "[BLACK-BOX]", F.lit(black_box)).otherwise(p["replacement"])
-        return F.struct(p["end"].alias("at"), F.concat(acc["out"], spans.piece(text, acc["at"], p["start"]), new).alias("out"))
+        before = F.coalesce(F.get(planned, i - 1)["end"], F.lit(0))
+        return F.concat(spans.piece(text, before, p["start"]), new)
 
-    return F.when(F.size(planned) == 0, text).otherwise(F.aggregate(planned, start, add, lambda acc: F.concat(acc["out"], spans.piece(text, acc["at"], F.length(text)))))
+    tail = spans.piece(text, F.element_at(planned, -1)["end"], F.length(text))
+    return F.when(F.size(planned) == 0, text).otherwise(F.concat(F.array_join(F.transform(planned, part), ""), tail))
 
 
 def redact(docs: DataFrame, approved: str = "approved", text: str = "text", black_box_as_empty: bool = False) -> DataFrame:
@@ -107,9 +109,20 @@ def audit_log(redacted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def replacement_map(redacted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Each document's different originals and what stands for them, by type, then original in any case."""
-    log = audit_log(redacted, doc_id)
-    return log.select("doc_id", "pii_type", "original", "replacement").distinct().orderBy("doc_id", "pii_type", F.lower("original"), "original")
+    """Each document's different originals and what stands for them, by type, then original in any case.
+
+    Sorted within the row; rows that share an id are documents of their own. No shuffle.
+    """
+    entry = lambda p: F.struct(p["type"].alias("pii_type"), F.lower(p["original"]).alias("sort"), p["original"].alias("original"), p["replacement"].alias("replacement"))
+    own = F.array_sort(F.array_distinct(F.transform("plan", entry)))
+    return redacted.select(F.col(doc_id).alias("doc_id"), F.inline(own)).drop("sort")
+
+
+def summary(detected: DataFrame, redacted: DataFrame) -> DataFrame:
+    """``pii_type, candidates, redacted``: how many spans of a type were found and how many were replaced."""
+    found = detected.groupBy(F.col("type").alias("pii_type")).agg(F.count("*").alias("candidates"))
+    both = found.join(counts(redacted), "pii_type", "full")
+    return both.select("pii_type", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("n", F.lit(0)).alias("redacted"))
 
 
 def counts(redacted: DataFrame) -> DataFrame:

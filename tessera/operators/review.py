@@ -27,6 +27,17 @@ def confidence_tier(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "high").when(confidence >= 0.75, "medium").otherwise("low")
 
 
+def latest(reviews: DataFrame) -> DataFrame:
+    """``entity_id, decision, new_type`` of each entity's latest review (and ``doc_id`` where reviews have it).
+
+    Decisions other than accept, reject and retype say nothing; a new type counts for a retype only. Of
+    reviews at the same time the alphabetically last decision counts, then the last new type.
+    """
+    order = Window.partitionBy("entity_id").orderBy(F.col("reviewed_at").desc(), F.col("decision").desc(), F.col("new_pii_type").desc())
+    last = reviews.where(F.col("decision").isin(*schema.DECISIONS)).withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return last.select(*[c for c in ("doc_id",) if c in reviews.columns], "entity_id", "decision", F.when(F.col("decision") == "retype", F.col("new_pii_type")).alias("new_type"))
+
+
 def apply_reviews(entities: DataFrame, reviews: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Entities with ``verified, decision, new_type, effective_type`` from each one's latest review.
 
@@ -34,9 +45,7 @@ def apply_reviews(entities: DataFrame, reviews: DataFrame, states: DataFrame | N
     are being detected or wait for a review; others' entities stay as they are. Of reviews at the same
     time the alphabetically last decision counts.
     """
-    order = Window.partitionBy("entity_id").orderBy(F.col("reviewed_at").desc(), F.col("decision").desc(), F.col("new_pii_type").desc())
-    last = reviews.where(F.col("decision").isin(*schema.DECISIONS)).withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    last = last.select("entity_id", "decision", F.when(F.col("decision") == "retype", F.col("new_pii_type")).alias("new_type"))
+    last = latest(reviews).select("entity_id", "decision", "new_type")
     joined = entities.join(last, "entity_id", "left")
     if states is not None:
         joined = joined.join(states.select("doc_id", "status"), "doc_id", "left")

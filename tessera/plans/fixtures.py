@@ -9,15 +9,15 @@ _SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double":
 TEXTS = (
     (1, "SSN on file 234-56-7890, not 1234-56-7890 or 123456789012."),
     (2, "Server fe80:0:0:0:202:b3ff:fe1e:8329 answers, 10.0.0.1 too, 999.1.1.1 never."),
-    (3, "Ship to 742 Evergreen Terrace, Springfield, IL 62704 today."),
-    (4, "2023 Short Term Borrowings and 12 New Drought measures."),
+    (3, "Deliver to 615 Juniper Hollow Lane, Ashford, OR 97031 by noon."),
+    (4, "1998 Long Term Storage and 7 Old Dresser handles."),
     (5, "Office: 12 M G Road, Mumbai 400001, and 5 Oak St. as well."),
     (6, "Date of birth: 03/14/1985; issued 01/02/2015."),
     (7, "She was born on January 5, 1990 in Pune, moved Sept 5, 1991 and May 7 1992."),
     (8, "Meeting on 2031-04-05, dob 1979-12-31, invalid 02/30/1980 born."),
-    (9, "Applicant: Rashi Patil\n\nEmail: none. Director: Anil Kumar Mehta signed."),
-    (10, "Dear Customer Service, Promoter Selling Shareholder, Attn Mary-Ann O'Neil Smith."),
-    (11, "Name: Rohan Dey"),
+    (9, "Applicant: Noor Castell\n\nPhone: none. Director: Ivo Lund Bergman signed."),
+    (10, "Dear Customer Relations, Promoter Buying Agent, Attn Lise-Marie D'Arcy Holm."),
+    (11, "Name: Tove Arman"),
     (12, ""),
 )
 
@@ -27,10 +27,10 @@ ENTITIES = (
     ("three_way", 1, "phone", 4, 16, "45-6789 0000", 0.85, "regex_detector"),
     ("three_way", 2, "person", 20, 28, "Jane Doe", 0.85, "spacy_ner"),
     ("three_way", 3, "person", 24, 32, "Doe Ltd ", 0.6, "presidio_detector"),
-    ("contain", 0, "address", 0, 40, "742 Evergreen Terrace, Springfield, IL 6", 0.88, "regex_detector"),
-    ("contain", 1, "company", 4, 21, "Evergreen Terrace", 0.9, "spacy_ner"),
-    ("contain", 2, "company", 4, 21, "Evergreen Terrace", 0.86, "presidio_detector"),
-    ("stat", 0, "person", 0, 20, "Evergreen Terrace Co", 0.7, "spacy_ner"),
+    ("contain", 0, "address", 0, 40, "381 Juniper Grove Way, Northampton, MA 6", 0.88, "regex_detector"),
+    ("contain", 1, "company", 4, 21, "Juniper Grove Way", 0.9, "spacy_ner"),
+    ("contain", 2, "company", 4, 21, "Juniper Grove Way", 0.86, "presidio_detector"),
+    ("stat", 0, "person", 0, 20, "Juniper Grove Way Co", 0.7, "spacy_ner"),
     ("stat", 1, "company", 4, 10, "green ", 0.8, "presidio_detector"),
     ("partial", 0, "address", 5, 25, "12 Oak Street, Reno N", 0.88, "regex_detector"),
     ("partial", 1, "company", 0, 8, "Acme 12 ", 0.95, "spacy_ner"),
@@ -107,8 +107,8 @@ VALUES = (
     (1, "dob", "03/14/1985"),
     (2, "dob", "January 5, 1990"),
     (3, "dob", "no date"),
-    (4, "address", "742 Evergreen Terrace, Springfield, IL 62704"),
-    (5, "address", "742 Evergreen Terrace"),
+    (4, "address", "381 Juniper Grove Way, Northampton, MA 62704"),
+    (5, "address", "381 Juniper Grove Way"),
     (6, "phone", "(415) 555-0199"),
     (7, "phone", "12"),
     (8, "ip_address", "192.168.1.15"),
@@ -175,6 +175,21 @@ JOBS = (("j1", 1, "p1", "completed", "2024-01-01 00:00:00"), ("j2", 2, "p1", "fa
 DETECTIONS = (("j1", "person", 10, 14), ("j1", "email", 2, 8), ("j2", "phone", 0, 12))
 POLICIES = (("p1", "default", 0.75), ("p2", "strict", 0.5))
 UPDATES = (("p2", None, 0.9),)
+POLICY_LOG = (("p2", "strict", 0.5, "2024-01-02 00:00:00"), ("p1", "default", 0.75, "2024-01-01 00:00:00"), ("p3", "late", 0.9, "2024-01-02 00:00:00"))
+FILES = ((1, "a.docx"), (2, "b.pdf"))
+RUN_EVENTS = (
+    ("r1", "2024-01-01 00:00:00", "detecting", None),
+    ("r1", "2024-01-01 00:00:01", "completed", None),
+    ("r1", "2024-01-01 00:00:02", "needs_review", None),
+    ("r1", "2024-01-01 00:00:03", "redacting", "unused"),
+    ("r1", "2024-01-01 00:00:04", "completed", None),
+    ("r1", "2024-01-01 00:00:05", "failed", "too late"),
+    ("r2", "2024-01-01 00:00:00", "detecting", None),
+    ("r2", "2024-01-01 00:00:01", "failed", "no such file"),
+    ("r3", "2024-01-01 00:00:00", None, None),
+    ("r3", "2024-01-01 00:00:01", "queued", None),
+    ("r4", "2024-01-01 00:00:00", "failed", None),
+)
 LABELS = ((1, "Ann and Ann again", "Ann", 0), (2, "Ann and Ann again", "Ann", 1), (3, "aaaa", "aa", 2))
 BOXES = (("b1", 1, 0, 4), ("b1", 1, 5, 8), ("b1", 2, 12, 20))
 
@@ -201,6 +216,9 @@ SCHEMAS = {
     "jobs": ("id string, document_id long, policy_id string, status string, created_at timestamp", JOBS),
     "detections": ("job_id string, type string, start int, end int", DETECTIONS),
     "policies": ("id string, name string, confidence_floor double", POLICIES),
+    "policy_log": ("id string, name string, confidence_floor double, created_at timestamp", POLICY_LOG),
+    "files": ("id long, filename string", FILES),
+    "run_events": ("job_id string, ts timestamp, status string, error string", RUN_EVENTS),
     "updates": ("id string, name string, confidence_floor double", UPDATES),
     "labelled": ("case_id long, text string, raw string, occurrence int", LABELS),
     "boxes": ("doc_id string, page int, start int, end int", BOXES),

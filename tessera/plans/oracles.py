@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from tessera.plans.fixtures import cte
 
+# The patterns of the formats, as DuckDB reads them.
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IPV4 = rf"\b(?:{OCTET}\.){{3}}{OCTET}\b"
@@ -102,10 +103,16 @@ def with_first(source: str) -> str:
     return f"SELECT *, first_value(own) OVER (PARTITION BY doc_id, type, original ORDER BY start) AS replacement FROM ({source})"
 
 
-def rewritten(policy: str = "") -> str:
+def rewritten(policy: str = "", entities: str | None = None) -> str:
     """The redacted text of every document with a replacement: pieces between spans and replacements."""
     return f"""SELECT doc_id, string_agg(text[prev + 1:start] || replacement, '' ORDER BY start) || any_value(text)[max("end") + 1:] AS redacted FROM (
-SELECT *, COALESCE(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM ({with_first(planned(policy))})) GROUP BY doc_id"""
+SELECT *, COALESCE(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM ({with_first(planned(policy, entities))})) GROUP BY doc_id"""
+
+
+#: What reviews make of the found spans: phones are rejected, addresses of machines become SSNs.
+RETYPED = f"""SELECT doc_id, CASE WHEN type = 'ip_address' THEN 'ssn' ELSE type END AS type, value, start, "end", confidence FROM ({resolved(finds())}) WHERE type <> 'phone'"""
+# Words around a date that make it a date of birth.
+BIRTH = ("date of birth", "dob", "born", "birth date", "birthdate", "birthday", "b-day")
 
 
 def metrics(source: str, label: str = "label") -> str:
@@ -245,9 +252,9 @@ FROM ({places('documents', 'doc_id', 'text', '(?:the|of)')}) JOIN (SELECT doc_id
     "detect_filtered": trimmed(f"SELECT *, 'email' AS type, 0.97::DOUBLE AS confidence FROM ({MAILS})", "doc_id"),
     "detect_distinct": trimmed(f"SELECT *, 'email' AS type, 0.97::DOUBLE AS confidence FROM ({MAILS})", "doc_id"),
     "detect_pii": resolved(finds()),
-    "detect_adapter_rules": f"""{cte('texts')} SELECT case_id, 'address' AS type, value, start, "end", 0.6::DOUBLE AS confidence FROM ({places('(SELECT * FROM texts WHERE case_id IN (3, 6, 10))', 'case_id', 'text', 'Springfield')})
+    "detect_adapter_rules": f"""{cte('texts')} SELECT case_id, 'address' AS type, value, start, "end", 0.6::DOUBLE AS confidence FROM ({places('(SELECT * FROM texts WHERE case_id IN (3, 6, 10))', 'case_id', 'text', 'Ashford')})
 UNION ALL SELECT case_id, 'dob', value, start, "end", 0.75 FROM ({places('(SELECT * FROM texts WHERE case_id IN (3, 6, 10))', 'case_id', 'text', '[0-9]{2}/[0-9]{2}/[0-9]{4}')}) JOIN texts USING (case_id) WHERE contains(lower(text[greatest(start - 40, 0) + 1:"end" + 40]), 'date of birth')
-UNION ALL SELECT case_id, 'company', value, start, "end", 0.85 FROM ({places('(SELECT * FROM texts WHERE case_id IN (3, 6, 10))', 'case_id', 'text', 'Promoter Selling')})""",
+UNION ALL SELECT case_id, 'company', value, start, "end", 0.85 FROM ({places('(SELECT * FROM texts WHERE case_id IN (3, 6, 10))', 'case_id', 'text', 'Promoter Buying')})""",
     "pii_catalog": """SELECT * FROM (VALUES ('person', 'spacy_ner,presidio_detector,labeled_field_detector'), ('company', 'spacy_ner,presidio_detector'), ('dob', 'date_detector,presidio_detector'), ('ssn', 'regex_detector,presidio_detector'), ('credit_card', 'regex_detector,presidio_detector'),
 ('phone', 'regex_detector,presidio_detector'), ('email', 'regex_detector,presidio_detector'), ('ip_address', 'regex_detector,presidio_detector'), ('address', 'regex_detector,presidio_detector')) t(pii_type, detectors)""",
     "text_chunks": """WITH RECURSIVE w AS (SELECT doc_id, text, length(text)::BIGINT AS n, 0::BIGINT AS k, 0::BIGINT AS start, NULL::BIGINT AS prev_end FROM documents),
@@ -280,7 +287,7 @@ SELECT 'email' AS pii_type, count(*)::BIGINT AS n FROM mail WHERE NOT regexp_mat
     "text_report": f"""WITH c AS (SELECT type, count(*) AS n FROM ({planned()}) GROUP BY 1) SELECT row_number() OVER (ORDER BY part, type) AS line_no, line FROM (SELECT 0 AS part, type, rpad(type, 14, ' ') || ' ' || n AS line FROM c UNION ALL SELECT 1, 'total', rpad('total', 14, ' ') || ' ' || sum(n) FROM c)""",
     "replacement_map": f"SELECT DISTINCT doc_id, type AS pii_type, original, replacement FROM ({with_first(planned("'phone'"))})",
     "audit_log": f"SELECT doc_id, entity_id, type AS pii_type, start, \"end\", original, replacement, 'regex_detector' AS source, confidence FROM ({with_first(planned("'phone'"))})",
-    "artifacts": f"SELECT doc_id, count(DISTINCT (type, original, replacement)) AS mapping_count, count(*) AS event_count FROM ({with_first(planned())}) GROUP BY doc_id",
+    "artifacts": f"SELECT doc_id, count(DISTINCT (type, original, replacement)) AS mapping_count, count(*) AS event_count, arg_min(original, (type, lower(original), original)) AS first_original, arg_min(replacement, start) AS first_replacement FROM ({with_first(planned())}) GROUP BY doc_id",
     "redact_generalize": f"""{cte('vals')}, p AS (SELECT *, COALESCE(try_strptime(value, '%m/%d/%Y'), try_strptime(value, '%m-%d-%Y'), try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%B %d, %Y')) AS d, regexp_replace(value, '[^0-9]', '', 'g') AS ds FROM vals)
 SELECT case_id, CASE kind WHEN 'dob' THEN CASE WHEN d IS NULL THEN '[REDACTED-DOB]' ELSE '[AGE ' || {AGE} || '-' || ({AGE} + 9) || ']' END WHEN 'address' THEN CASE WHEN contains(value, ',') THEN '[REDACTED STREET], ' || regexp_replace(trim(value[instr(value, ',') + 1:]), '\\s*,\\s*', ', ', 'g') ELSE '[REDACTED-ADDRESS]' END
 WHEN 'phone' THEN CASE WHEN length(ds) >= 4 THEN '[PHONE ENDING ' || right(ds, 4) || ']' ELSE '[REDACTED-PHONE]' END ELSE CASE WHEN kind = 'ip_address' AND contains(value, '.') THEN split_part(value, '.', 1) || '.' || split_part(value, '.', 2) || '.x.x' ELSE '[REDACTED-' || upper(kind) || ']' END END AS shown FROM p""",
@@ -321,10 +328,27 @@ SELECT COALESCE(nullif(j->>'pii_type', ''), nullif(j->>'entity_type', ''), nulli
 COALESCE(nullif(j->>'document_id', ''), nullif(j->>'doc_id', ''), 'default') AS document_id, COALESCE(nullif(j->>'text', ''), nullif(j->>'raw_value', '')) AS text, j->>'id' AS entity_id FROM x""",
     "checksum_dedup": "SELECT doc_id, checksum, first_id, doc_id <> first_id AS deduplicated FROM (SELECT doc_id, sha256(text) AS checksum, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents)",
     "acceptable_files": "SELECT page_id, 'f.' || ['docx', 'PDF', 'txt'][page_id % 3 + 1] AS f FROM pages WHERE page_id % 3 <> 2 AND length(html) <= 3000",
+    "redact_pseudonymize": f"SELECT doc_id, type, count(DISTINCT original) AS originals, count(DISTINCT original) AS stand_ins, 0::BIGINT AS unchanged, 0::BIGINT AS misshapen FROM ({planned()}) GROUP BY doc_id, type",
+    "redact_reviewed": f"SELECT doc_id, sha256(redacted) AS redacted_sha256 FROM ({rewritten('', RETYPED)})",
+    "detection_summary": f"SELECT type AS pii_type, count(*) AS candidates, COALESCE(any_value(n), 0)::BIGINT AS redacted FROM ({resolved(finds())}) LEFT JOIN (SELECT type, count(*) AS n FROM ({planned()}) GROUP BY type) USING (type) GROUP BY type",
+    "dob_context": f"""{cte('windows')}, k(word) AS (VALUES {", ".join(f"('{w}')" for w in BIRTH)}),
+stretch AS (SELECT case_id, word, substr(w, greatest(i, 1), least(i + length(word) - 1, length(w)) - greatest(i, 1) + 1) AS part FROM windows, k, range(-20, 80) t(i) WHERE i + length(word) - 1 >= 1 AND i <= length(w)),
+{_indel("SELECT row_number() OVER () AS id, word AS a, part AS b FROM (SELECT DISTINCT word, part FROM stretch)")}
+SELECT w.case_id, trim(w.w) <> '' AND (EXISTS (SELECT 1 FROM k WHERE contains(w.w, k.word)) OR EXISTS (SELECT 1 FROM stretch s JOIN ind ON ind.a = s.word AND ind.b = s.part WHERE s.case_id = w.case_id AND ind.ratio >= 0.85)) AS near FROM windows w""",
+    "docx_blocks": f"""{cte('texts')} SELECT 'case-' || case_id AS path, (row_number() OVER (PARTITION BY case_id ORDER BY p) - 1)::INTEGER AS i, part AS text, (COALESCE(sum(length(part) + 2) OVER (PARTITION BY case_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS char_offset, (p - 1)::INTEGER AS paragraph_index, 0 AS run_index, 'word/document.xml' AS part
+FROM (SELECT case_id, unnest(range(1, len(ps) + 1)) AS p, unnest(ps) AS part FROM (SELECT case_id, string_split(text, chr(10) || chr(10)) AS ps FROM texts WHERE text <> ''))""",
+    "policies_recent": f"{cte('policy_log')} SELECT id, name FROM policy_log ORDER BY created_at, id",
+    "completed_jobs": f"{cte('jobs')} SELECT id, document_id FROM jobs WHERE status = 'completed'",
+    "job_lookups": f"{cte('jobs', 'policies', 'files')} SELECT j.id, p.name AS policy_name, p.confidence_floor, f.filename FROM jobs j LEFT JOIN policies p ON p.id = j.policy_id LEFT JOIN files f ON f.id = j.document_id",
+    "job_states": f"""{cte('run_events')}, e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, status) AS n FROM run_events),
+nexts(s, t) AS (VALUES ('queued', 'detecting'), ('detecting', 'needs_review'), ('needs_review', 'redacting'), ('redacting', 'completed'), ('queued', 'failed'), ('detecting', 'failed'), ('needs_review', 'failed'), ('redacting', 'failed')),
+w AS (SELECT job_id, 0::BIGINT AS n, 'queued' AS status, NULL::VARCHAR AS error FROM run_events GROUP BY job_id
+UNION ALL SELECT w.job_id, e.n, CASE WHEN x.s IS NULL THEN w.status ELSE e.status END, CASE WHEN x.s IS NULL THEN w.error WHEN e.status = 'failed' THEN e.error END FROM w JOIN e ON e.job_id = w.job_id AND e.n = w.n + 1 LEFT JOIN nexts x ON x.s = w.status AND x.t = e.status)
+SELECT job_id, arg_max(status, n) AS status, (array_agg(error ORDER BY n DESC))[1] AS error FROM w GROUP BY job_id""",
     "jobs_recent": f"{cte('jobs')} SELECT id, status FROM jobs ORDER BY created_at DESC, id",
     "job_detections_join": f'{cte("jobs", "detections")} SELECT job_id, status, type, start::BIGINT AS start, "end"::BIGINT AS "end" FROM jobs JOIN detections ON job_id = id',
     "fk_violations": f"{cte('jobs', 'policies')} SELECT id, policy_id FROM jobs WHERE policy_id NOT IN (SELECT id FROM policies)",
-    "order_fk_violations": "SELECT o_orderkey, o_custkey AS c FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) AND o_custkey IS NOT NULL",
+    "order_fk_violations": "SELECT o_orderkey, o_custkey AS c FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 2 = 0) AND o_custkey IS NOT NULL",
     "job_status": f"{cte('status_events')} SELECT job_id, arg_max(status, ts) AS status FROM status_events GROUP BY job_id",
     "job_summary": f"""WITH c AS (SELECT type, count(*) AS n FROM ({resolved(finds())}) GROUP BY 1) SELECT 'j' AS job_id, sum(n)::BIGINT AS total, '{{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}}' AS summary FROM c""",
     "policy_update": f"{cte('policies', 'updates')} SELECT p.id, COALESCE(u.name, p.name) AS name, COALESCE(u.confidence_floor, p.confidence_floor) AS confidence_floor FROM policies p LEFT JOIN updates u USING (id)",

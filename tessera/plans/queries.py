@@ -172,8 +172,8 @@ def detect_adapter_rules(spark, sf_dir):
     docs = table(spark, "texts").where("case_id in (3, 6, 10)")
     raw = F.concat(
         F.transform(spans.matches(F.col("text"), r"\d{2}/\d{2}/\d{4}"), lambda m: F.struct(F.lit("DATE_TIME").alias("label"), m["start"].alias("start"), m["end"].alias("end"), F.lit(0.6).alias("score"))),
-        F.transform(spans.matches(F.col("text"), "Springfield"), lambda m: F.struct(F.lit("LOCATION").alias("label"), m["start"].alias("start"), m["end"].alias("end"), F.lit(0.85).alias("score"))),
-        F.transform(spans.matches(F.col("text"), "Promoter Selling"), lambda m: F.struct(F.lit("ORGANIZATION").alias("label"), m["start"].alias("start"), m["end"].alias("end"), F.lit(0.85).alias("score"))),
+        F.transform(spans.matches(F.col("text"), "Ashford"), lambda m: F.struct(F.lit("LOCATION").alias("label"), m["start"].alias("start"), m["end"].alias("end"), F.lit(0.85).alias("score"))),
+        F.transform(spans.matches(F.col("text"), "Promoter Buying"), lambda m: F.struct(F.lit("ORGANIZATION").alias("label"), m["start"].alias("start"), m["end"].alias("end"), F.lit(0.85).alias("score"))),
     )
     found = docs.select("case_id", F.explode(adapters.general_entities(F.col("text"), raw)).alias("e"))
     return _longs(found.select("case_id", "e.type", F.col("e.text").alias("value"), "e.start", "e.end", F.round("e.confidence", 6).alias("confidence")), "start", "end")
@@ -313,7 +313,8 @@ def audit_log(spark, sf_dir):
 
 
 def artifacts(spark, sf_dir):
-    return sinks.artifacts(redact.audit_log(redacted(spark, sf_dir, {}))).select("doc_id", F.col("mapping_count").cast("long").alias("mapping_count"), F.col("event_count").cast("long").alias("event_count"))
+    made = sinks.artifacts(redact.audit_log(redacted(spark, sf_dir, {})))
+    return made.select("doc_id", F.col("mapping_count").cast("long").alias("mapping_count"), F.col("event_count").cast("long").alias("event_count"), F.get_json_object("mappings", "$[0].original").alias("first_original"), F.get_json_object("events", "$[0].replacement").alias("first_replacement"))
 
 
 def redact_generalize(spark, sf_dir):
@@ -359,6 +360,30 @@ def pseudonymize(spark, sf_dir):
     return found.select("doc_id", F.inline(memo)).select("doc_id", "type", "original", "fake")
 
 
+def redact_pseudonymize(spark, sf_dir):
+    """Each document's replaced values: how many differ, how many stand-ins, and stand-ins that aren't as they should be."""
+    done = redacted(spark, sf_dir, jobs.default_policy())
+    p = done.select("doc_id", F.inline("plan")).select("doc_id", "type", F.col("original"), F.col("replacement").alias("fake")).distinct()
+    layout = F.when(F.col("type") == "email", F.col("fake").rlike(r"^[a-z0-9.]+@example\.com$")).when(F.col("type") == "phone", F.col("fake").rlike(r"^(\+91 )?[6-9][0-9]{4} [0-9]{5}( [0-9a-f]{8})?$"))
+    layout = layout.when(F.col("type") == "ip_address", F.col("fake").rlike(r"^10(\.[0-9]{1,3}){3}")).when(F.col("type") == "credit_card", validators.luhn_valid(F.col("fake"))).otherwise(F.lit(True))
+    return p.groupBy("doc_id", "type").agg(F.countDistinct("original").alias("originals"), F.countDistinct(F.lower("fake")).alias("stand_ins"), F.count(F.when(F.lower("fake") == F.lower("original"), 1)).alias("unchanged"), F.count(F.when(~layout, 1)).alias("misshapen"))
+
+
+def redact_reviewed(spark, sf_dir):
+    """Phones rejected, addresses of machines retyped, cards accepted below the floor; the rest as it is."""
+    found = _found(spark, sf_dir).where("type in ('phone', 'ip_address', 'credit_card')")
+    decision = F.when(F.col("type") == "phone", "reject").when(F.col("type") == "ip_address", "retype").otherwise("accept")
+    reviews = found.select("doc_id", "entity_id", decision.alias("decision"), F.lit("ssn").alias("new_pii_type"), F.lit("2024-01-01").cast("timestamp").alias("reviewed_at"))
+    docs = pipeline.with_entities(_docs(spark, sf_dir).select("doc_id", "text"), as_of=F.lit(AS_OF))
+    done = redact.redact(policies.approved(docs, {}, 0.95, F.lit(AS_OF), reviews))
+    return done.where(F.size("plan") > 0).select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+def detection_summary(spark, sf_dir):
+    """Found and replaced spans of each type, over all documents."""
+    return redact.summary(_found(spark, sf_dir), redacted(spark, sf_dir, {}))
+
+
 # --- evaluation ---
 
 
@@ -505,6 +530,22 @@ def jobs_recent(spark, sf_dir):
     return jobs.recent(table(spark, "jobs")).select("id", "status")
 
 
+def policies_recent(spark, sf_dir):
+    return jobs.policies_by_time(table(spark, "policy_log")).select("id", "name")
+
+
+def completed_jobs(spark, sf_dir):
+    return jobs.completed(table(spark, "jobs")).select("id", "document_id")
+
+
+def job_lookups(spark, sf_dir):
+    return jobs.with_lookups(table(spark, "jobs"), table(spark, "policies"), table(spark, "files")).select("id", "policy_name", "confidence_floor", "filename")
+
+
+def job_states(spark, sf_dir):
+    return jobs.run_states(table(spark, "run_events"))
+
+
 def job_detections_join(spark, sf_dir):
     return _longs(jobs.with_detections(table(spark, "jobs"), table(spark, "detections")).select("job_id", "status", "type", "start", "end"), "start", "end")
 
@@ -514,8 +555,9 @@ def fk_violations(spark, sf_dir):
 
 
 def order_fk_violations(spark, sf_dir):
-    """Orders of customers that aren't there; on whole tables."""
-    return jobs.missing(spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_custkey", "c"), spark.read.parquet(f"{sf_dir}/customer.parquet"), "c", "c_custkey").select("o_orderkey", "c")
+    """Orders of customers that aren't among those of even number; on whole tables."""
+    some = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0")
+    return jobs.missing(spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_custkey", "c"), some, "c", "c_custkey").select("o_orderkey", "c")
 
 
 def job_status(spark, sf_dir):
@@ -599,9 +641,9 @@ for _f in (
     luhn_filter, ipv4_valid, context_window, preceding_word, word_safe, dob_context, indel_ratio, text_similarity, company_suffix_boost, acronym_guard, company_confidence, name_tokens, dob_format_like,
     entity_id, display_mask, confidence_tier, detect_credit_card, detect_all, detect_filtered, detect_pii, detect_distinct, detect_ner_company, detect_adapter_rules, pii_catalog, text_chunks,
     corroborate, merge_overlaps, normalize_spans, extend_company_suffix, apply_reviews, effective_type, approval_filter, needs_review, visible_highlights, min_confidence_view, group_by_page, dictionary_highlight,
-    redact_mask, redact_text, redaction_counts, redaction_rollup, merged_counts, text_report, replacement_map, audit_log, artifacts, redact_generalize, strategy_join, plan_replacements, redact_black_box, box_plan,
+    redact_mask, redact_text, redaction_counts, redaction_rollup, merged_counts, text_report, replacement_map, audit_log, artifacts, redact_generalize, redact_pseudonymize, redact_reviewed, detection_summary, strategy_join, plan_replacements, redact_black_box, box_plan,
     pseudonymize_phone, pseudonymize, match_first_fit, match_best_overlap, eval_per_type, eval_report, eval_overall, metrics_from_counts, label_metrics, confusion_matrix, classification_report, metrics_unpivot,
     label_spans, annotation_template, section_slice, gold_eval, block_offsets, flatten_blocks, span_block_join, word_flatten, ocr_flatten, load_entities, checksum_dedup, acceptable_files,
-    jobs_recent, job_detections_join, fk_violations, order_fk_violations, job_status, job_summary, policy_update, status_changes, event_changes, status_stream, docx_blocks,
+    jobs_recent, policies_recent, completed_jobs, job_lookups, job_states, job_detections_join, fk_violations, order_fk_violations, job_status, job_summary, policy_update, status_changes, event_changes, status_stream, docx_blocks,
 ):
     QUERIES[_f.__name__] = _f

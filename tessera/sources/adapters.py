@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import schema
+from tessera.errors import DetectorUnavailable
 from tessera.functions import fuzzy, spans
 
 RAW = "array<struct<label:string,start:int,end:int,score:double>>"
@@ -21,10 +22,6 @@ LABELS = {"PERSON": "person", "ORGANIZATION": "company", "EMAIL_ADDRESS": "email
 NER_LABELS, NER_SCORES = {"PERSON": "person", "ORG": "company"}, {"PERSON": 0.85, "ORG": 0.80}
 
 
-class DetectorUnavailable(RuntimeError):
-    """A library or model that a detector needs isn't there."""
-
-
 def require(module: str):
     try:
         return importlib.import_module(module)
@@ -32,20 +29,36 @@ def require(module: str):
         raise DetectorUnavailable(f"{module} is not installed; install it on every worker to use this detector") from e
 
 
-def with_raw(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[list[tuple]]]], column: str = "raw", text: str = "text") -> DataFrame:
+def pieces(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+    """A text's pieces with their places, for models that can't take a whole one; the rule of ``detect.chunks``."""
+    start = 0
+    while True:
+        end = min(start + size, len(text))
+        if end < len(text):
+            end = next((at for mark in ("\n\n", "\n") if (at := text.rfind(mark, start, end)) > start), end)
+        yield start, text[start:end]
+        if end >= len(text):
+            return
+        start = max(start + 1, end - overlap)
+
+
+def with_raw(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[list[tuple]]]], column: str = "raw", text: str = "text", size: int = 40_000, overlap: int = 1_000) -> DataFrame:
     """``docs`` with what a model says of each text; ``make`` runs once in a worker and returns the model.
 
     The model takes a list of texts and gives for each a list of ``(label, start, end, score)``. Blank and
-    null texts aren't shown to it.
+    null texts aren't shown to it. It sees long texts in pieces of ``size`` characters that overlap;
+    places are moved to those in the whole text, and what two pieces both hold is told once.
     """
 
     @F.pandas_udf(RAW)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for texts in batches:
-            shown = [t for t in texts if t and t.strip()]
-            said = iter(model(shown))
-            yield pd.Series([[dict(zip(("label", "start", "end", "score"), x, strict=True)) for x in next(said)] if t and t.strip() else [] for t in texts])
+            shown = [(row, at, piece) for row, t in enumerate(texts) if t and t.strip() for at, piece in pieces(t, size, overlap)]
+            found: list[dict[tuple, None]] = [{} for _ in texts]
+            for (row, at, _), said in zip(shown, model([piece for *_, piece in shown]) if shown else [], strict=True):
+                found[row].update(dict.fromkeys((label, start + at, end + at, score) for label, start, end, score in said))
+            yield pd.Series([[dict(zip(("label", "start", "end", "score"), x, strict=True)) for x in rows] for rows in found])
 
     return docs.withColumn(column, run(text))
 

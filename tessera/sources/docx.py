@@ -1,8 +1,9 @@
 """Word files: text runs in, rewritten files out, with nothing but the standard library.
 
-A file's runs, in order: the body, then each different header and footer; tables cell by cell, nested
-ones too; a cell that is merged downwards is read once. After every paragraph comes a blank line that
-belongs to no run.
+A file's runs, in order: the body, then the headers and footers that its sections refer to (for each
+section headers for usual, first and even pages, then footers), each part once and only if it has text;
+tables cell by cell, nested ones too; a cell that is merged downwards is read once. After every
+paragraph comes a blank line that belongs to no run.
 """
 
 from __future__ import annotations
@@ -18,14 +19,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 BREAK = "\n\n"
 BLOCKS = "path string, i int, text string, char_offset int, paragraph_index int, run_index int, part string"
 
 
 def _parts(archive: zipfile.ZipFile) -> list[str]:
-    names = archive.namelist()
-    around = sorted(n for n in names if n.startswith("word/") and posixpath.basename(n).rstrip("0123456789.xml") in ("header", "footer"))
-    return [n for n in ("word/document.xml", *around) if n in names]
+    """The document and the parts that its sections refer to, in order, each once; unknown references lead nowhere."""
+    names, found = set(archive.namelist()), ["word/document.xml"]
+    links = {}
+    if "word/_rels/document.xml.rels" in names:
+        for link in ElementTree.fromstring(archive.read("word/_rels/document.xml.rels")):
+            links[link.get("Id")] = posixpath.normpath(posixpath.join("/word", link.get("Target", ""))).lstrip("/")
+    for section in ElementTree.fromstring(archive.read(found[0])).iter(W + "sectPr"):
+        for kind in ("header", "footer"):
+            own = {x.get(W + "type"): links.get(x.get(R + "id")) for x in section.iter(f"{W}{kind}Reference")}
+            found += [part for pages in ("default", "first", "even") if (part := own.get(pages)) in names and part not in found]
+    return found
+
+
+def _has_text(root: ElementTree.Element) -> bool:
+    return any(_text(run) for paragraph in _paragraphs(root) for run in _runs(paragraph))
 
 
 def _paragraphs(node: ElementTree.Element) -> Iterator[ElementTree.Element]:
@@ -61,6 +75,8 @@ def _walk(archive: zipfile.ZipFile) -> Iterator[tuple[str, ElementTree.ElementTr
     for part in _parts(archive):
         tree = ElementTree.ElementTree(ElementTree.fromstring(archive.read(part)))
         root = tree.getroot()
+        if part != "word/document.xml" and not _has_text(root):
+            continue
         found = []
         for paragraph in _paragraphs(root):
             for k, run in enumerate(_runs(paragraph)):

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.errors import UnsupportedFormat
 from tessera.sources import adapters, blocks, docx
 
 FORMATS = ("docx", "pdf")
@@ -30,7 +31,7 @@ def texts(files: DataFrame, format: str) -> DataFrame:
         return docx.read_texts(own)
     if format == "pdf":
         return blocks.text_of(blocks.pdf_words(adapters.pdf_rows(own))).withColumnRenamed("doc_id", "path")
-    raise ValueError(f"unsupported format: {format}")
+    raise UnsupportedFormat(f"unsupported format: {format}")
 
 
 def images(files: DataFrame) -> DataFrame:

@@ -13,28 +13,38 @@ from tessera import schema
 from tessera.operators import pipeline
 
 
-def status_changes(events: DataFrame) -> DataFrame:
+#: How long an ended job is remembered, in milliseconds, for events that come late.
+REMEMBERED_MS = 86_400_000
+
+
+def status_changes(events: DataFrame, remembered_ms: int = REMEMBERED_MS) -> DataFrame:
     """The stream of ``job_id, ts, status`` without what a job's last state already was.
 
-    Only the last state of each job is kept. After an end state a job says nothing more. Within a
-    micro-batch events go by time, then state.
+    Only the last state of each job is kept. After an end state a job says nothing more, and after
+    ``remembered_ms`` without another event it is forgotten. Within a micro-batch events go by time, then
+    state. Null states are passed over.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "status"], kind="stable")
         out = []
         for ts, status in zip(rows["ts"], rows["status"], strict=True):
             if last in schema.END_STATES:
                 break
-            if status != last:
+            if status is not None and status != last:
                 out.append((key[0], ts, status))
                 last = status
         if last is not None:
             state.update((last,))
+            if last in schema.END_STATES:
+                state.setTimeoutDuration(remembered_ms)
         yield pd.DataFrame(out, columns=["job_id", "ts", "status"])
 
-    return events.select("job_id", "ts", "status").groupBy("job_id").applyInPandasWithState(step, schema.EVENT, "last string", "append", GroupStateTimeout.NoTimeout)
+    return events.select("job_id", "ts", "status").groupBy("job_id").applyInPandasWithState(step, schema.EVENT, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def detected(stream: DataFrame, types: Iterable[str] = schema.TYPES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

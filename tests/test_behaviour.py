@@ -266,10 +266,14 @@ def _p(*runs):
 def test_word_files(spark):
     cell = lambda body, merged="": f"<w:tc><w:tcPr>{merged}</w:tcPr>{body}</w:tc>"
     table = f"<w:tbl><w:tr>{cell(_p('top'), '<w:vMerge w:val=&quot;restart&quot;/>'.replace('&quot;', chr(34)))}</w:tr><w:tr>{cell(_p('again'), '<w:vMerge/>')}</w:tr></w:tbl>"
-    content = _word({"word/document.xml": f"<w:body>{_p('Jane ', 'Doe')}{table}{_p('end')}</w:body>", "word/header1.xml": _p("head")})
-    content = content if docx.blocks_of(content) else content
+    r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    section = lambda *refs: f"<w:sectPr {r}>" + "".join(f'<w:{kind}Reference w:type="{pages}" r:id="{link}"/>' for kind, pages, link in refs) + "</w:sectPr>"
+    first = f"<w:p><w:pPr>{section(('header', 'first', 'r2'), ('header', 'default', 'r10'), ('footer', 'default', 'r3'))}</w:pPr></w:p>"
+    links = "".join(f'<Relationship xmlns="http://schemas.openxmlformats.org/package/2006/relationships" Id="{k}" Target="{v}"/>' for k, v in (("r10", "header10.xml"), ("r2", "header2.xml"), ("r3", "footer1.xml")))
+    parts = {"word/document.xml": f"<w:body>{_p('Jane ', 'Doe')}{table}{_p('end')}{first}{section(('header', 'default', 'r10'))}</w:body>", "word/header10.xml": _p("usual"), "word/header2.xml": _p("first"), "word/footer1.xml": _p(), "word/header1.xml": _p("nobody's"), "word/_rels/document.xml.rels": links}
+    content = _word(parts)
     texts = [b[0] for b in docx.blocks_of(content)]
-    assert texts[:4] == ["Jane ", "Doe", "top", "end"]
+    assert texts == ["Jane ", "Doe", "top", "end", "usual", "first"]
     text = docx.text_of(content)
     assert all(text[b[1] : b[1] + len(b[0])] == b[0] for b in docx.blocks_of(content))
     new = docx.rewritten(content, [(3, 8, "[X]"), (text.index("top"), text.index("top") + 3, "[T]")])
@@ -357,7 +361,7 @@ def test_gold_set(spark):
 
 def test_word_blocks_query(spark):
     got = registry.QUERIES["docx_blocks"](spark, SF_SMALL).where("path = 'case-9'").orderBy("i").collect()
-    assert [r["char_offset"] for r in got] == [0, 24]
+    assert [r["char_offset"] for r in got] == [0, 25]
 
 
 def test_nothing_else_imports_the_subpackage():
@@ -409,3 +413,58 @@ def test_small_inputs_are_spread(spark, monkeypatch):
     assert "REPARTITION" in tables.spread(docs)._jdf.queryExecution().toString().upper()
     monkeypatch.setattr(tables, "SMALL_SHARE", 0)
     assert "REPARTITION" not in tables.spread(docs)._jdf.queryExecution().toString().upper()
+
+
+def test_models_see_long_texts_in_pieces(spark):
+    text = "\n".join(f"line {k} with name{k}" for k in range(300))
+    seen = list(adapters.pieces(text, 200, 40))
+    assert all(text[at : at + len(p)] == p and len(p) <= 200 for at, p in seen) and seen[-1][0] + len(seen[-1][1]) == len(text)
+    assert all(a + len(p) >= b for (a, p), (b, _) in zip(seen, seen[1:], strict=False))
+
+    def make():
+        import re
+
+        return lambda texts: [[("PERSON", m.start(), m.end(), 1.0) for m in re.finditer(r"\bname\d+\b", t)] for t in texts]
+
+    raw = adapters.with_raw(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string"), make, size=200, overlap=40)
+    got = raw.where("doc_id = 1").first()["raw"]
+    assert {text[r["start"] : r["end"]] for r in got} >= {f"name{k}" for k in range(300)} and len(got) == len({(r["start"], r["end"]) for r in got})
+
+
+def test_pseudonyms_and_reviews_reach_the_text(spark):
+    from tessera.operators import policy
+
+    text = "Dear Asha Rao, write to asha.rao@corp.com or call 555-123-4567; again asha.rao@corp.com."
+    docs = pipeline.with_entities(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), as_of=F.lit(AS_OF))
+    done = redact.redact(policy.approved(docs, jobs.default_policy(), as_of=F.lit(AS_OF))).orderBy("doc_id").collect()
+    plan, new = done[0]["plan"], done[0]["redacted"]
+    fakes = {p["original"]: p["replacement"] for p in plan}
+    assert done[1]["redacted"] is None and "REDACTED" not in new and "asha.rao@corp.com" not in new and "Asha Rao" not in new and "555-123-4567" not in new
+    person = fakes["Asha Rao"]
+    assert fakes["asha.rao@corp.com"].startswith(person.lower().replace(" ", ".")) and new.count(fakes["asha.rao@corp.com"]) == 2
+    ids = {r["text"]: r["entity_id"] for r in pipeline.detect_pii(docs.select("doc_id", "text"), as_of=F.lit(AS_OF)).collect()}
+    at = datetime.datetime(2024, 1, 1)
+    said = [(ids["Asha Rao"], "reject", None, at), (ids["555-123-4567"], "retype", "ssn", at), (ids["asha.rao@corp.com"], "accept", None, at)]
+    for names in (False, True):
+        reviews = spark.createDataFrame(said, "entity_id string, decision string, new_pii_type string, reviewed_at timestamp")
+        reviews = reviews.withColumn("doc_id", F.lit(1).cast("long")) if names else reviews
+        out = redact.redact(policy.approved(docs, {}, 0.99, F.lit(AS_OF), reviews)).where("doc_id = 1").first()["redacted"]
+        assert out == "Dear Asha Rao, write to [REDACTED-EMAIL] or call [REDACTED-SSN]; again asha.rao@corp.com."
+
+
+def test_needles_are_taken_as_they_are(spark):
+    docs = spark.createDataFrame([(1, r"a\Eb. a.b x\Ey")], "doc_id long, text string")
+    got = sorted((r["start"], r["needle"]) for r in jobs.dictionary_matches(docs, spark.createDataFrame([(1, r"a\Eb"), (1, "a.b")], "doc_id long, needle string")).collect())
+    assert got == [(0, r"a\Eb"), (6, "a.b")]
+
+
+def test_errors_have_codes():
+    from tessera import errors
+
+    kinds = [errors.NotFound, errors.ValidationFailed, errors.UnsupportedFormat, errors.FileTooLarge, errors.InvalidJobState, errors.StorageFailed, errors.DetectorUnavailable]
+    assert len({k.code for k in kinds}) == 7 and all(issubclass(k, errors.TesseraError) for k in kinds)
+
+
+def test_reports_of_many_lines_have_pages():
+    body = sinks.minimal_pdf("\n".join(f"line {k}" for k in range(200)))
+    assert b"/Count 3" in body and b"(line 199) Tj" in body

@@ -37,4 +37,4 @@ def test_same_as_sql(spark, duck, name):
 
 def test_every_query_is_run_somewhere():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert sorted(set(QUERIES) - set(ORACLE_SQL)) == ["detect_ner_company", "dob_context", "docx_blocks", "gold_eval", "pseudonymize"]
+    assert sorted(set(QUERIES) - set(ORACLE_SQL)) == ["detect_ner_company", "gold_eval", "pseudonymize"]
