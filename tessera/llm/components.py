@@ -4,46 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import stored, tidy
 
-#: Edges (of 16 bytes) that one task joins at most; more are joined by distributed steps.
-ONE_TASK = 1_000_000
+#: Nodes that a task's union-find holds at a time; it tells them and starts anew beyond that.
+HELD = 500_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of an edge; the component is its least node.
 
-    At most ``ONE_TASK`` edges are joined by union-find in one executor's task. Beyond that, large-star and
-    small-star steps take turns: each links a node's larger (or smaller) neighbours to the least one it
-    knows, until every node hangs on its component's least node. Every step is a grouped minimum (summed
-    before the shuffle) and a join, so a node with very many edges is no single task's work. Edges with a
-    null end and loops say nothing; repeated edges count once.
+    First each task joins the edges it has by union-find, in bounded memory, so that a node with very many
+    edges stands at most once a task as the larger end. Then rounds: every node hangs on the least
+    of its parents, its other parents are hung on that one, and the node moves up to the least parent's own
+    least parent. Chains halve in each round; when nothing moves, all nodes hang on their component's
+    least node. A round is a grouped minimum (summed before the shuffle) and two joins by a node.
+
+    Edges with a null end and loops say nothing; repeated edges count once.
     """
-    real = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    if real.count() <= ONE_TASK:
-        return real.coalesce(1).mapInArrow(_joined, "node long, component long")
-    down, last = stored(real.distinct(), "components"), None
+    real = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
+    up = stored(real.mapInArrow(tidy(_joined), "u long, v long"), "components")
     while True:
-        both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = stored(large.distinct(), "components")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        down = stored(small.select("e.u", "e.v").where("u != v").distinct(), "components")
-        now = down.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(30,0)")).alias("h")).first()
-        if now == last:
+        least = up.groupBy("u").agg(F.min("v").alias("p"))
+        others = up.join(least, "u").where("v != p").select(F.col("v").alias("u"), F.col("p").alias("v"), F.lit(True).alias("moved"))
+        jump = least.alias("x").join(least.alias("y"), F.col("x.p") == F.col("y.u"), "left")
+        jump = jump.select(F.col("x.u").alias("u"), F.coalesce("y.p", "x.p").alias("v"), F.col("y.p").isNotNull().alias("moved"))
+        now = stored(jump.unionByName(others), "components")
+        up = now.select("u", "v")
+        if now.where("moved").isEmpty():
             break
-        last = now
-    leaves = down.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.unionByName(down.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return up.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(up.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of some edges beside the least node that these edges join it to, unless that is itself."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -51,9 +49,16 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root[x] = x = root[up]
         return x
 
+    def told() -> pa.RecordBatch:
+        found = np.array([(x, find(x)) for x in list(root)], np.int64).reshape(-1, 2)
+        found = found[found[:, 0] != found[:, 1]]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             u, v = find(u), find(v)
             root[max(u, v)] = min(u, v)
-    nodes = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
+        if len(root) > HELD:
+            yield told()
+    yield told()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import shuffle_partitions, small, stored, tidy
+from tessera.llm.common import WORD, shuffle_partitions, small, stored, tidy
 from tessera.llm.components import components
 
 #: Classes of a block up to which all pairs are candidates at once; classes on a side of a cell.
@@ -155,8 +155,8 @@ def _classes(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Recor
             n = np.array([len(s) for s in sets], np.int64)
             c = [class_of(s) if len(s) else None for s in sets]
             quota = rule.quotas(n)
-            columns = [batch.column(0).slice(at, len(sets)), pa.array(n), pa.array(c, pa.int64()), pa.array([sketch(s, rule) for s in sets], pa.binary()), pa.array(quota[:, 0]), pa.array(quota[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "c", "sketch", "even", "odd"])
+            columns = [batch.column(0).slice(at, len(sets)), batch.column(2).slice(at, len(sets)), pa.array(n), pa.array(c, pa.int64()), pa.array([sketch(s, rule) for s in sets], pa.binary()), pa.array(quota[:, 0]), pa.array(quota[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "c", "sketch", "even", "odd"])
             at += len(sets)
 
 
@@ -329,22 +329,26 @@ def _cells(batches: Iterator[pa.RecordBatch], rule: Rule, best: int | None) -> I
 
 
 def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, class, component_id``: one row for each row of ``docs``.
+    """``doc_id, text_hash, n_shingles, class, component, component_id``: one row for each row of ``docs``.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; shingles are ``size`` words in a
     row, a shorter text is one shingle. Rows whose sets have a Jaccard similarity of ``num / den`` or
     more link; ``component_id`` is the least id that can be reached by links, the own one included.
+    ``class`` and ``component`` number equal sets and what hangs together.
 
     A null, empty or blank text has no shingles, a null class, and is linked with nothing. A null id is
-    kept and is no component's name unless all its rows have none. Equal rows are rows of their own in
-    one component. Other columns play no part; an empty table gives an empty result.
+    kept, links like any other, and is no component's name unless all its rows have none. Equal rows are
+    rows of their own in one component. Other columns play no part; an empty table gives an empty result.
     """
     spark, rule = docs.sparkSession, Rule(size, num, den)
     n = shuffle_partitions(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = stored(rows.mapInArrow(tidy(lambda x: _classes(x, rule)), "doc_id long, n long, c long, sketch binary, even long, odd long"), "parity-sets")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sets = rows.select("doc_id", "text", "text_hash").mapInArrow(tidy(lambda x: _classes(x, rule)), "doc_id long, text_hash long, n long, c long, sketch binary, even long, odd long")
+    sets = stored(sets, "parity-sets")
     same = [F.min(x).alias(x) for x in ("n", "sketch", "even", "odd")]
-    classes = stored(sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), *same), "parity-classes")
+    # a class's text is that of its least id; of a class without ids, that of the least hash
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("nameless")
+    classes = stored(sets.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), nameless, *same), "parity-classes")
 
     told = rows.select("text").mapInArrow(tidy(lambda x: _keys(x, rule)), "key long, c long")
     in_blocks = [F.col("key"), F.xxhash64("c", "key"), F.col("c")]
@@ -372,15 +376,16 @@ def groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, doc_id: s
         more = stored(more, "parity-more")
         if more.isEmpty():
             continue
-        pairs, links = pairs.unionByName(more), links.unionByName(verify(rows, classes, more, rule))
-        found = stored(components(links), "parity-components")
+        pairs = pairs.unionByName(more)
+        joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verify(rows, classes, more, rule))
+        found = stored(components(joined), "parity-components")
 
     named = found.withColumnRenamed("node", "c").join(classes.select("c", "rep"), "c").select("c", "component", "rep")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = stored(named.join(least, "component").select("c", "least"), "parity-named")
-    named = classes.select("c", "rep").join(named, "c", "left").select("c", F.coalesce("least", "rep").alias("least"))
-    out = sets.select("doc_id", "n", "c").join(named, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("class"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    named = stored(named.join(least, "component").select("c", "component", "least"), "parity-named")
+    named = classes.select("c", "rep").join(named, "c", "left").select("c", F.coalesce("component", "c").alias("component"), F.coalesce("least", "rep").alias("least"))
+    out = sets.select("doc_id", "text_hash", "n", "c").join(named, "c", "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("c").alias("class"), "component", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def _between(members: DataFrame, found: DataFrame, sketches: DataFrame, rule: Rule, n: int, best: int | None) -> DataFrame:
@@ -402,23 +407,31 @@ def _between(members: DataFrame, found: DataFrame, sketches: DataFrame, rule: Ru
 def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs of classes whose sets link, from the texts of one document each."""
     both = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    need = stored(both.join(classes.select("c", "rep"), "c").select("c", F.col("rep").alias("doc_id")), "parity-need")
-    texts = stored(rows.join(small(need), "doc_id").select("c", "text").dropDuplicates(["c", "text"]), "parity-texts")
+    need = stored(both.join(classes.select("c", "rep", "nameless"), "c").select("c", F.col("rep").alias("doc_id"), F.col("nameless").alias("text_hash")), "parity-need")
+    texts = rows.select("doc_id", "text").join(small(need.select("c", "doc_id").where("doc_id is not null")), "doc_id").select("c", "text")
+    without = need.where("doc_id is null").select("c", "text_hash")
+    if not without.isEmpty():
+        texts = texts.unionByName(rows.where("doc_id is null").select("text", "text_hash").join(small(without), "text_hash").select("c", "text"))
+    texts = stored(texts.dropDuplicates(["c", "text"]), "parity-texts")
     with_a = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
     return stored(with_b.select("a", "b", "ta", "tb").mapInArrow(tidy(lambda x: _verified(x, rule)), "a long, b long").distinct(), "parity-links")
 
 
-def one_of_each(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows, with all their columns, whose id is the least of its component in ``grouped``.
+def one_of_each(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row, with all its columns, of each component in ``grouped``: that of the least id, then text hash.
 
-    ``grouped`` comes from ``groups``. Rows with a null id can't be told apart and are kept; of rows that
-    share an id one stays.
+    ``grouped`` comes from ``groups``. Rows are told by id and text, so rows that share an id but hang
+    together with other texts are decided each for themselves; null ids come after all others. Of rows
+    with the same id and text one stays. Texts without words are in no component and stay, all of them.
     """
-    grouped = stored(grouped.select(F.col("doc_id").alias("_id"), "component_id").where("_id is not null"), "parity-grouped")
-    gone = stored(grouped.where("_id != component_id").select("_id").distinct(), "parity-gone")
-    kept = docs.join(small(gone), F.col(doc_id) == F.col("_id"), "left_anti")
-    if grouped.groupBy("_id").count().where("count > 1").isEmpty():
+    grouped = stored(grouped.where("class is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("component").alias("_component")), "parity-grouped")
+    row = F.struct(F.col("_id").isNull().alias("last"), "_id", "_h")
+    best = grouped.groupBy("_component").agg(F.min(row).alias("_best"))
+    gone = grouped.join(best, "_component").where(~row.eqNullSafe(F.col("_best"))).select("_id", "_h").distinct()
+    gone = stored(gone, "parity-gone")
+    kept = docs.join(small(gone), F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_h")), "left_anti")
+    if grouped.groupBy("_id", "_h").count().where("count > 1").isEmpty():
         return kept
-    named = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return named.unionByName(kept.where(F.col(doc_id).isNull()))
+    worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    return kept.where(worded).dropDuplicates([doc_id, text]).unionByName(kept.where(~worded))

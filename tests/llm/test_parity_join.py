@@ -65,7 +65,7 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
 
 
 def test_links_joined_by_distributed_steps(docs, corpus, monkeypatch):
-    monkeypatch.setattr(module, "ONE_TASK", 0)
+    monkeypatch.setattr(module, "HELD", 20)
     assert got(docs, 3, 9, 10) == brute(corpus, 3, 9, 10)
 
 
@@ -165,10 +165,9 @@ def test_shingles_are_those_of_the_words():
             assert named.setdefault(tuple(s.tolist()), grams(t, k)) == grams(t, k)
 
 
-@pytest.mark.parametrize("in_one_task", [True, False])
-def test_components(spark, monkeypatch, in_one_task):
-    if not in_one_task:
-        monkeypatch.setattr(module, "ONE_TASK", -1)
+@pytest.mark.parametrize("held", [500_000, 3])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(module, "HELD", held)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 200)] + [(None, 3), (7, 7)]
     root = {}
@@ -195,4 +194,23 @@ def test_one_of_each(docs, corpus):
 
 def test_one_of_each_of_odd_rows(odd):
     kept = [r["doc_id"] for r in pj.one_of_each(odd, pj.groups(odd)).collect()]
-    assert sorted(kept, key=repr) == sorted([None, None, 5, 7, 9], key=repr)
+    assert sorted(kept, key=repr) == sorted([None, None, 5, 5, 7, 9], key=repr)
+
+
+def test_a_null_id_links_like_any_other(spark):
+    """The middle text, which alone has no id, joins two that don't link with each other."""
+    rng = random.Random(12)
+    words = sentence(rng, 200).split()
+    a, b, c = words[:194], words[:200], words[6:200]
+    for middle in (None, 2):
+        rows = [(1, " ".join(a)), (middle, " ".join(b)), (3, " ".join(c)), (4, sentence(rng, 90))]
+        assert got(table(spark, rows), 3, 19, 20) == brute(rows, 3, 19, 20)
+        assert [x[2] for x in got(table(spark, rows), 3, 19, 20)].count(1) == 3
+
+
+def test_rows_that_share_an_id_are_told_by_text(spark):
+    rng = random.Random(13)
+    first, other = sentence(rng, 40), sentence(rng, 40)
+    df = table(spark, [(1, first), (2, first), (2, other), (2, other), (3, ""), (3, "")])
+    kept = sorted((r["doc_id"], r["text"]) for r in pj.one_of_each(df, pj.groups(df)).collect())
+    assert kept == sorted([(1, first), (2, other), (3, ""), (3, "")])
