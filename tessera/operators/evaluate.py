@@ -1,7 +1,9 @@
 """Scoring predicted spans against expected ones.
 
 Both sides are rows ``document_id, pii_type, start, end, ordinal``; ``ordinal`` is the order in which
-predictions claim and expected spans are looked through. Everything is grouped by document first.
+predictions claim and expected spans are looked through. Everything is grouped by document first. Rows of
+the same ordinal go by their place; repeated rows are spans of their own; a null id or type matches
+nothing and its span stays unmatched; spans with a null end overlap nothing; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +28,20 @@ def _sides(expected: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFr
 
 
 def _claimed(e: Column, p: Column, best: bool) -> Column:
-    """For each prediction in order the index of the expected span it claims, or null."""
+    """For each prediction in order the index of the expected span it claims, or null.
+
+    What is claimed leaves the list that later predictions look through.
+    """
+    start = F.struct(F.transform(e, lambda y, i: F.struct(i.alias("i"), y["start"].alias("start"), y["end"].alias("end"))).alias("free"), F.array().cast("array<int>").alias("out"))
 
     def claim(acc: Column, x: Column) -> Column:
-        free = F.filter(F.transform(e, lambda y, i: F.struct((-(F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]))).alias("o"), i.alias("i"), y.alias("y"))), lambda c: overlaps(x, c["y"]) & ~F.exists(acc, lambda a: a.eqNullSafe(c["i"])))
-        ranked = F.transform(free, lambda c: F.struct((c["o"] if best else F.lit(0)).alias("o"), c["i"].alias("i")))
-        return F.concat(acc, F.array(F.array_min(ranked)["i"]))
+        hits = F.filter(acc["free"], lambda y: overlaps(x, y))
+        shared = lambda y: F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
+        taken = F.array_min(F.transform(hits, lambda y: F.struct((-shared(y) if best else F.lit(0)).alias("o"), y["i"].alias("i"))))["i"]
+        left = F.when(F.size(hits) == 0, acc["free"]).otherwise(F.filter(acc["free"], lambda y: y["i"] != taken))
+        return F.struct(left.alias("free"), F.concat(acc["out"], F.array(taken)).alias("out"))
 
-    return F.aggregate(p, F.array().cast("array<int>"), claim)
+    return F.aggregate(p, start, claim, lambda acc: acc["out"])
 
 
 def match_first_fit(expected: DataFrame, predicted: DataFrame) -> DataFrame:

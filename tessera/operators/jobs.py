@@ -1,4 +1,9 @@
-"""Jobs, policies and lookups between their tables."""
+"""Jobs, policies and lookups between their tables.
+
+Null references lead nowhere: joins leave them out, lookups leave nulls beside them. Null times sort
+first; repeated rows stay repeated; empty tables give no rows. Columns beside the named ones stay where a
+function returns its input's rows.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,7 @@ def default_policy() -> dict[str, str]:
 
 
 def recent(jobs: DataFrame) -> DataFrame:
-    """Latest first; jobs of the same time by id."""
+    """Latest first; jobs of the same time by id, those without a time last."""
     return jobs.orderBy(F.col("created_at").desc(), "id")
 
 

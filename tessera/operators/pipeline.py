@@ -12,14 +12,15 @@ from tessera.operators import detect, resolve
 
 
 def with_entities(docs: DataFrame, types: Iterable[str] = schema.TYPES, text: str = "text", as_of: Column | None = None, wide: bool = True, extra: str | None = None) -> DataFrame:
-    """``docs`` with ``entities``, the resolved entities of each row. A null text has none.
+    """``docs`` with ``entities``, the resolved entities of each row. A null or empty text has none.
 
-    No shuffle: everything happens within the row, in batch as in a stream.
+    No shuffle: everything happens within the row, in batch as in a stream. Equal rows get equal entities,
+    other columns stay; a column that is called ``entities`` already is replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     found = detect.detect_all(body, types, as_of, wide, F.col(extra) if extra else None)
     # the finds are a column of their own, so that they are computed once
-    return docs.withColumn("_found", found).withColumn("entities", resolve.resolve(body, F.col("_found"))).drop("_found")
+    return docs.withColumn("_tessera_found", found).withColumn("entities", resolve.resolve(body, F.col("_tessera_found"))).drop("_tessera_found")
 
 
 def entity_id(doc_id: Column, e: Column) -> Column:

@@ -90,7 +90,10 @@ def rewrite(text: Column, planned: Column, black_box: str | None = None) -> Colu
 
 
 def redact(docs: DataFrame, approved: str = "approved", text: str = "text", black_box_as_empty: bool = False) -> DataFrame:
-    """``docs`` with ``plan`` and ``redacted``. A null text stays null. Mappings never leave a document."""
+    """``docs`` with ``plan`` and ``redacted``, which replace columns of these names.
+
+    A null text stays null. Mappings never leave a row: equal rows are documents of their own.
+    """
     planned = docs.withColumn("plan", plan(F.coalesce(F.col(text), F.lit("")), F.col(approved), black_box_as_empty))
     return planned.withColumn("redacted", rewrite(F.col(text), F.col("plan"), "" if black_box_as_empty else None))
 
