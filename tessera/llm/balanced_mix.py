@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, small, stored
+from tessera.llm.common import WORD, numbered, shuffle_partitions, small, stored
 
 #: Documents that one task balances at a time.
 BLOCK = 2048
 #: Documents that are decided anew with the undecided two at the very end of a source.
 LANDING = 12
+#: Copies of one row that a task makes at a time.
+LOT = 1000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -115,7 +117,7 @@ def _balance(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies``: one row for each row of ``docs``.
+    """``doc_id, text_hash, source, size, source_size, target, copies``: one row for each row of ``docs``.
 
     ``copies`` is how often the mix takes the document, 0 to ``ceil(most)``; a source's words taken come
     within about one document of its target. Choices follow from hashes of ids, so reruns agree.
@@ -123,31 +125,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     A null text is empty and has size 0; null sources are one source, the last. Repeated rows are
     documents of their own. A null id is a value like any other. Rows of a source without a word are
     taken ``floor(share)`` times nothing: 0. Other columns play no part; an empty table gives none.
-    Sources are balanced in blocks of about ``BLOCK`` documents, so a hot source is many tasks; what a
-    block leaves undecided (two documents at most) goes to the next round.
+    Sources are balanced in blocks of about ``BLOCK`` documents, dealt by a hash of id, text and a number
+    among rows that agree in these, so a hot source or id is many tasks; what a block leaves undecided
+    (two documents at most) goes to the next round, until a source's last block decides all it has.
     """
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), "mix-sizes")
+    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text_hash"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    key = F.xxhash64(F.lit(seed), "doc_id", F.col("doc_id").isNull(), "text_hash", "source", F.col("source").isNull())
+    rows = stored(rows.withColumns({"key": key, "salt": F.spark_partition_id()}), "mix-sizes")
     per = stored(targets(rows, weights, share, most), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
+    rows = numbered(rows, "key").withColumn("hash", F.xxhash64("key", "copy")).drop("key", "salt", "copy")
     keyed = _with_source(rows, per.select("source", "source_size", "target", ratio.alias("ratio")))
     keyed = keyed.withColumn("sure", F.floor("ratio").cast("int")).withColumn("p", F.col("ratio") - F.floor("ratio"))
-    keyed = keyed.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "sure", "p", "hash"]
+    columns = ["doc_id", "text_hash", "source", "size", "source_size", "target", "sure", "p", "hash"]
     decided, live = [keyed.where("p <= 1e-9 or p >= 1 - 1e-9").withColumn("p", F.round("p")).select(columns)], keyed.where("p > 1e-9 and p < 1 - 1e-9").select(columns)
-    schema = "doc_id long, source string, size long, source_size long, target double, sure int, p double, hash long, blocks long"
-    for turn in range(20):
+    schema = "doc_id long, text_hash long, source string, size long, source_size long, target double, sure int, p double, hash long, blocks long"
+    turn = 0
+    while turn == 0 or not live.isEmpty():
         blocks = live.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
         out = _with_source(live, blocks).withColumn("block", F.pmod(F.xxhash64("hash", F.lit(turn)), "blocks"))
         out = stored(out.groupBy("source", "block").applyInPandas(_balance, schema), "mix-round")
         decided.append(out.where("p = 0 or p = 1").select(columns))
         live = out.where("p > 0 and p < 1").select(columns)
-        if live.isEmpty():
-            break
+        turn += 1
     out = decided[0]
     for x in decided[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("p").cast("int")).alias("copies"))
+    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", (F.col("sure") + F.col("p").cast("int")).alias("copies"))
 
 
 def _with_source(rows: DataFrame, per: DataFrame) -> DataFrame:
@@ -156,13 +162,21 @@ def _with_source(rows: DataFrame, per: DataFrame) -> DataFrame:
     return rows.alias("r").join(per.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", *[f"s.{c}" for c in extra])
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, as often as ``mixed`` (from ``mix``) takes them.
 
-    Rows that share an id are each taken as often as they are on average, rounded up. Rows with a null
-    id can't be told apart and stay as they are.
+    Rows are told by id (null is one) and text. Of rows that agree in both one stands for all, as often as
+    they are taken together.
     """
-    chosen = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.avg("copies")).cast("int").alias("_copies"))
-    chosen = stored(chosen.where("_copies > 0"), "mix-chosen")
-    taken = docs.join(small(chosen), F.col(doc_id) == F.col("_id")).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    own = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.sum("copies").alias("_taken"), F.count("*").alias("_rows"))
+    own = stored(own.where("_taken > 0"), "mix-chosen")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_h"))
+    taken = docs.join(small(own.where("_rows = 1")), same).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_taken")))).select(docs.columns)
+    again = own.where("_rows > 1")
+    if again.isEmpty():
+        return taken
+    one = docs.join(small(again), same).dropDuplicates(["_id", "_h"])
+    # a row that stands very often is multiplied by many tasks
+    lots = one.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / LOT)))).repartition(shuffle_partitions(docs.sparkSession), "_id", "_h", "_lot")
+    many = lots.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(LOT), F.col("_taken") - F.col("_lot") * LOT))))
+    return taken.unionByName(many.select(docs.columns))

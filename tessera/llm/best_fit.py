@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, numbered, stored
 
 #: Documents that are packed together.
 BLOCK = 4096
@@ -103,14 +103,17 @@ def pack(docs: DataFrame, capacity: int = 1024, doc_id: str = "doc_id", text: st
 
     A null or empty text is a piece of no words and still gets a bin. Repeated rows are documents of
     their own that conflict. A null id is kept. Other columns play no part; an empty table gives none.
-    Documents are packed in blocks of about ``BLOCK``, dealt by a hash of the id and how often it is
-    there, so sources, clusters and ids of any size are many tasks.
+    Documents are packed in blocks of about ``BLOCK``, dealt by a hash of id, source, size and cluster and
+    a number among rows that agree in these, so sources, clusters and ids of any size are many tasks.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_count(body, F.lit(WORD)).cast("long")
     same = F.xxhash64(F.lower(F.trim(F.regexp_replace(body, r"[\x20\x09-\x0D]+", " ")))) if cluster is None else F.col(cluster)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), same.alias("cluster"))
+    # a null changes no hash, so whether it is one is hashed too
+    named = F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "size", "cluster")
+    rows = stored(rows.withColumns({"key": named, "salt": F.spark_partition_id()}), "pack-rows")
     groups = max(1, -(-rows.count() // BLOCK))
-    rows = rows.withColumn("hash", F.xxhash64("doc_id", "size", "cluster"))
-    rows = rows.withColumn("group", F.pmod(F.col("hash"), F.lit(groups)))
+    rows = numbered(rows, "key").withColumn("hash", F.xxhash64("key", "copy"))
+    rows = rows.withColumn("group", F.pmod(F.col("hash"), F.lit(groups))).drop("key", "salt", "copy")
     return rows.groupBy("group").applyInPandas(lambda x: _pack(x, capacity), "doc_id long, piece int, start long, size long, bin long, place long")

@@ -108,6 +108,24 @@ def running(ranged: DataFrame, keys: list[str], sums: dict[str, Column], by: lis
     return joined.select("i.*", *[(F.col(f"_{n}_own") + F.col(f"_{n}_base")).alias(n) for n in sums]).drop(*[f"_{n}_own" for n in sums])
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``copy``: 0, 1, 2 ... among the rows that agree in ``key``, which is never null.
+
+    ``rows`` is a stored table with ``salt``, the number of the task that wrote the row. Rows of a key are
+    counted for each task first, so a key that a third of all rows share is many tasks' work.
+    """
+    often = stored(rows.groupBy(key).count().where("count > 1").select(key), "numbered-keys")
+    if often.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    some = rows.join(small(often), key)
+    own = F.row_number().over(Window.partitionBy(key, "salt").orderBy(key)) - 1
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = stored(some.groupBy(key, "salt").agg(F.count("*").alias("n")).select(key, "salt", before.alias("before")), "numbered-tasks")
+    told = some.withColumn("own", own).join(small(base), [key, "salt"]).withColumn("copy", F.col("own") + F.col("before"))
+    single = rows.join(small(often), key, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    return told.select(single.columns).unionByName(single)
+
+
 #: Rows of a few numbers that are broadcast at most; beyond that a shuffle join takes over.
 BROADCAST_ROWS = 500_000
 

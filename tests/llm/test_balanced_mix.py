@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import sentence, table
 
 from tessera.llm import balanced_mix as bm
@@ -99,3 +100,19 @@ def test_repeated(spark, docs):
     for r in out.select("doc_id").collect():
         got[r["doc_id"]] += 1
     assert got == {k: v for k, v in copies.items() if v}
+
+
+def test_very_many_equal_rows_are_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bm, "BLOCK", 64)
+    same = [(5, "six words are in this text")] * 600 + [(None, "four words without id")] * 200
+    rows = same + [(100 + k, "one two three " * (k % 5 + 1)) for k in range(300)]
+    df = table(spark, rows).withColumn("source", F.lit("s")).repartition(6)
+    mixed = bm.mix(df).cache()
+    assert mixed.count() == len(rows)
+    taken = sum(r["size"] * r["copies"] for r in mixed.collect())
+    want = 1.5 * sum(len((t or "").split()) for _, t in rows)
+    assert abs(taken - want) <= 15
+    out = bm.repeated(df, mixed)
+    assert sum(len(r["text"].split()) for r in out.select("text").collect()) == taken
+    again = bm.mix(df.repartition(3))
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, mixed.collect()), key=repr)

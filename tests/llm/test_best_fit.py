@@ -91,3 +91,12 @@ def test_odd_rows(odd, nothing):
 def test_blocks(docs, corpus, monkeypatch):
     monkeypatch.setattr(bf, "BLOCK", 10)
     check([(i, t, None) for i, t in corpus], bf.pack(docs, 100).collect(), 100)
+
+
+def test_very_many_equal_rows_are_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bf, "BLOCK", 64)
+    rows = [(5, "six words are in this text")] * 600 + [(100 + k, "one two three " * (k % 5 + 1)) for k in range(100)]
+    out = bf.pack(table(spark, rows).repartition(6)).collect()
+    assert len(out) == 700
+    by = Counter(r["bin"] >> 32 for r in out)
+    assert len(by) >= 10 and max(by.values()) <= 140

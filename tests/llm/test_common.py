@@ -39,3 +39,17 @@ def test_stored_tables_can_be_forgotten(spark):
 def test_the_shared_folder_is_the_configured_one():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: "file:///some/where/"))
     assert common.shared_dir(session) == "file:///some/where"
+
+
+def test_numbered(spark):
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    rows = [(k % 7 if k % 3 else 1000 + k, k) for k in range(500)]
+    df = spark.createDataFrame(rows, "key long, x long").repartition(9)
+    got = common.numbered(common.stored(df.withColumn("salt", F.spark_partition_id()), "t"), "key").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["key"]].append(r["copy"])
+    assert len(got) == 500 and all(sorted(v) == list(range(len(v))) for v in by.values())
