@@ -86,7 +86,7 @@ def plain_tree(rows, count, spans):
 
 def test_against_a_plain_tree(spark, monkeypatch):
     monkeypatch.setattr(kd, "GIVE", 0.0)
-    monkeypatch.setattr(kd, "MOVED", 0)
+    monkeypatch.setattr(kd, "LARGE", 1e9)
     rows = [(k, f"unique {k * k} " + "z" * (k * 7 % 31)) for k in range(300)]
     df = table(spark, rows).withColumns({"a": (F.col("doc_id") * 37) % 101, "b": (F.col("doc_id") * 11) % 17})
     meta = {r["doc_id"]: ((r["a"], r["b"]), r["h"], r["doc_id"], len(r["text"].encode()) + 1) for r in df.withColumn("h", F.xxhash64("text")).collect()}
@@ -96,10 +96,25 @@ def test_against_a_plain_tree(spark, monkeypatch):
     assert got == want
 
 
-def test_text_order(spark):
-    words = ["", "a", "ab", "b", "é", "zz", "src1", "src10", "src2"]
-    got = [r["w"] for r in spark.createDataFrame([(w,) for w in words] + [(None,)], "w string").orderBy(kd.text_order(F.col("w"))).collect()]
-    assert got == [None, *sorted(words, key=lambda w: w.encode())]
+def test_ranks_are_by_whole_strings(spark):
+    words = ["", "a", "ab", "b", "é", "zz", "source-with-a-long-name-1", "source-with-a-long-name-2", None, "a", None]
+    got = {r["w"]: r["rank"] for r in kd.with_rank(spark.createDataFrame([(w,) for w in words], "w string"), "w", "rank").collect()}
+    order = [None, *sorted({w for w in words if w is not None}, key=lambda w: w.encode())]
+    assert got == {w: k for k, w in enumerate(order)}
+
+
+def test_many_large_groups_stay_whole(spark):
+    """A value made of 40 copy groups, each a tenth of a shard, and little else."""
+    rows = [(k, f"group {k % 40} of equal texts " + "x" * 60) for k in range(4000)] + [(10_000 + k, f"other {k}") for k in range(300)]
+    df = table(spark, rows).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = shards(df, count=4, dimensions=(F.lit(1),))
+    sizes = check(rows, got, 4)
+    mean = sum(sizes.values()) / 4
+    assert max(sizes.values()) <= 1.06 * mean and min(sizes.values()) >= 0.94 * mean
+    by = defaultdict(set)
+    for r in got:
+        by[r["text_crc32"]].add(r["shard"])
+    assert sum(len(v) > 1 for v in by.values()) <= 3
 
 
 def test_odd_rows(odd, nothing):
