@@ -25,13 +25,14 @@ RANDOM = "(regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
 NAME = "['assign', 'access', 'hex', 'bare'][kind + 1] || ':' || start || ':' || \"end\""
 
 SECRETS = f"""WITH base AS ({_places(0, ASSIGN, 2, 6)} UNION ALL {_places(1, ACCESS, 0, 20)} UNION ALL {_places(2, HEX, 0, 24)}),
-stats AS (SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners FROM base JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY value),
-live AS (SELECT value FROM stats WHERE owners < 3 AND {RANDOM}),
+stats AS (SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners, count(DISTINCT struct_pack(s := COALESCE(source, chr(1)), l := COALESCE(lang, chr(1)))) AS repositories FROM base JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id) GROUP BY value),
+live AS (SELECT value FROM stats WHERE owners < 3 AND repositories < 6 AND {RANDOM}),
 bare AS (SELECT * FROM ({_places(3, BARE, 0, 12)}) t WHERE {RANDOM} AND value IN (SELECT value FROM live) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.start < t."end" AND t.start < b."end")),
 spans AS (SELECT *, value IN (SELECT value FROM live) AS lives FROM base UNION ALL SELECT *, TRUE FROM bare)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
 sha256(COALESCE(string_agg({NAME}, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256, COALESCE(string_agg({NAME}, ',' ORDER BY start, kind), '') AS spans,
-count(*) FILTER (lives) AS n_live, count(*) FILTER (NOT lives) AS n_copied FROM documents d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+count(*) FILTER (lives) AS n_live, count(*) FILTER (NOT lives) AS n_copied, COALESCE(max(owners), 0)::BIGINT AS most_owners, COALESCE(max(repositories), 0)::BIGINT AS most_repositories
+FROM documents d LEFT JOIN (SELECT * FROM spans LEFT JOIN stats USING (value)) s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_q(SPACE)}), lambda z: z <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),

@@ -46,6 +46,7 @@ def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    most = lambda c: F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).cast("long")
     return found.select(
         "doc_id",
         *[count(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(secrets.BASE)],
@@ -53,6 +54,8 @@ def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.listed(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
+        most("owners").alias("most_owners"),
+        most("repositories").alias("most_repositories"),
     )
 
 

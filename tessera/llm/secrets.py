@@ -23,8 +23,8 @@ KINDS = ("assign", "access", "hex", "bare")
 #: What a value without its context looks like: a run of the characters of values that is long enough to look
 #: random, and its parts where "=", "." or both bound a value.
 BARE, PARTS = r"[A-Za-z0-9+/_.=-]{8,}", (r"[A-Za-z0-9+/_.-]{8,}", r"[A-Za-z0-9+/_=-]{8,}", r"[A-Za-z0-9+/_-]{8,}")
-#: From how many owners on a value is a copied example.
-COPIED_BY = 3
+#: From how many owners, or from how many repositories, on a value is a copied example.
+COPIED_BY, COPIED_IN = 3, 6
 #: A value with more than this part of all occurrences is joined by broadcast; there are at most 1 / HOT such.
 HOT = 0.001
 
@@ -96,12 +96,12 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", copied_by: int = COPIED_BY) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", copied_by: int = COPIED_BY, copied_in: int = COPIED_IN) -> DataFrame:
     """``doc_id, text_hash, base, spans`` for each row; spans carry ``start, kind, end, repositories, owners, live``.
 
     ``kind`` counts in ``KINDS``. A repository is one of an owner's (owner and name together). A null
     owner or repository is one of its own. ``live`` holds for a random-looking value with fewer than
-    ``copied_by`` owners. Bare spans are the places of live values outside all base spans, where the
+    ``copied_by`` owners and fewer than ``copied_in`` repositories. Bare spans are the places of live values outside all base spans, where the
     value is a whole run of the characters of values; "." and "=" may bound it as well. A live value with
     these at its ends (a sentence's full stop) also stands where it does without them, unless that
     is a value of its own. Of bare spans within one another the outermost stays. A null or empty text has no spans. Equal rows are rows of their own, a null id is kept. Other columns play no
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     # null counts as an owner: one more where there is any
     plus = lambda c: F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))
     stats = per.withColumn("both", F.struct(F.coalesce("owner", F.lit("\x00")), F.coalesce("repository", F.lit("\x00")))).groupBy("hash").agg(F.sum("n").alias("n"), plus("owner").alias("owners"), F.countDistinct("both").alias("repositories"), F.max("random").alias("random"), F.max("bare").alias("bare"))
-    stats = stored(stats.withColumn("live", F.col("random") & (F.col("owners") < copied_by)), "secret-owners")
+    stats = stored(stats.withColumn("live", F.col("random") & (F.col("owners") < copied_by) & (F.col("repositories") < copied_in)), "secret-owners")
 
     # values that swallowed a full stop or the like, by what is left without it
     cut = stats.where("live and bare is not null").groupBy(F.col("bare").alias("hash")).agg(*[F.max(c).alias(c) for c in ("n", "repositories", "owners", "live")])
