@@ -1,9 +1,9 @@
 """Quality classifier from compressed sizes.
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled text. A text is
-compressed with each, and with none; from the normalised difference of the sizes (and the sizes
-themselves, so that a text that compresses alike under both is still placed) a logistic calibration
-gives the probability of the label 1. Nothing but the text's bytes enters a score.
+compressed with each, as a whole and in short pieces (in which a text's own repeats help less and the
+dictionary more). The difference of both sizes as a part of the larger, at either length, is all that a
+logistic calibration turns into the probability of the label 1.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import tidy
 
-#: Bytes of a dictionary, of the pieces it is trained on, and the compression level.
-DICTIONARY_BYTES, PIECE_BYTES, LEVEL = 112_640, 4096, 3
+#: Bytes of a dictionary, of the pieces it is trained on, of the pieces that are compressed, and the level.
+DICTIONARY_BYTES, TRAINED_BYTES, PIECE_BYTES, LEVEL = 112_640, 512, 128, 3
+#: Numbers of a text: one, the two differences and their squares.
+FEATURES = 5
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,7 @@ class Model:
     weights: tuple[float, ...]
 
     def scorer(self):
-        compressors = [_compressor(self.good), _compressor(self.bad), zstandard.ZstdCompressor(level=LEVEL)]
+        compressors = [_compressor(self.good), _compressor(self.bad)]
         centre, scale, weights = (np.array(x) for x in (self.centre, self.scale, self.weights))
 
         def score(texts: list[bytes]) -> np.ndarray:
@@ -54,15 +56,18 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _features(text: bytes, compressors: list) -> list[float]:
-    good, bad, plain = (len(c.compress(text)) for c in compressors)
-    n = max(len(text), 1)
-    x = [(bad - good) / max(bad, good), (bad - good) / n, good / n, bad / n, plain / n, math.log1p(len(text))]
-    return [1.0, *x, *[v * v for v in x]] if text else [1.0, *[0.0] * 12]
+    """One, then the normalised size differences of the whole and of its pieces, with their squares."""
+    out = [1.0]
+    for step in (max(len(text), 1), PIECE_BYTES):
+        good, bad = (sum(len(c.compress(text[i : i + step])) for i in range(0, len(text), step)) for c in compressors)
+        x = (bad - good) / max(bad, good, 1)
+        out += [x, x * x]
+    return out
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary; where there is too little text to train one, the text itself; maybe empty."""
-    pieces = [t[i : i + PIECE_BYTES] for t in texts for i in range(0, len(t), PIECE_BYTES)]
+    pieces = [t[i : i + TRAINED_BYTES] for t in texts for i in range(0, len(t), TRAINED_BYTES)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -77,10 +82,10 @@ def train(good: list[bytes], bad: list[bytes], share_good: float) -> Model:
     """
     if not good or not bad:
         share = min(max(share_good if good or bad else 0.5, 1e-6), 1 - 1e-6)
-        return Model(b"", b"", (0.0,) * 13, (1.0,) * 13, (math.log(share / (1 - share)), *[0.0] * 12))
+        return Model(b"", b"", (0.0,) * FEATURES, (1.0,) * FEATURES, (math.log(share / (1 - share)), *[0.0] * (FEATURES - 1)))
     halves = [(x[::2], x[1::2] or x) for x in (good, bad)]
     dictionaries = [_dictionary(x[0]) for x in halves]
-    compressors = [*map(_compressor, dictionaries), zstandard.ZstdCompressor(level=LEVEL)]
+    compressors = [*map(_compressor, dictionaries)]
     x = np.array([_features(t, compressors) for h in halves for t in h[1]])
     y = np.array([1.0] * len(halves[0][1]) + [0.0] * len(halves[1][1]))
     w = np.where(y == 1, share_good / y.sum(), (1 - share_good) / (1 - y).sum()) * len(y)
@@ -109,7 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int =
     picked = [known.where(F.col("_y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows of two numbers
     body = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = body.join(sample, "_id").withColumn("_h", F.xxhash64("_id"))
+    # of rows that share an id the text of the least hash teaches
+    rows = body.join(sample, "_id").groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), "_t")).alias("s"))
+    rows = rows.select("_y", "_id", F.xxhash64("_id").alias("_h"), F.col("s._t").alias("_t"))
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     held = {0: 0, 1: 0}
     for r in sorted(rows.toLocalIterator(), key=lambda r: (r["_h"], r["_id"], r["_t"])):
