@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of ``TABLES`` tables cuts space into buckets by ``HASHES`` functions ``floor((a . v + b) / w)`` with
-Gaussian ``a``. A query visits, in every table, its own bucket and buckets whose functions differ by
+Each of some tables cuts space into buckets by some functions ``floor((a . v + b) / w)`` with
+Gaussian ``a``. How many follows from the number of vectors: more functions make buckets finer, so that
+fewer vectors are ranked, at the cost of more buckets to visit; more tables ask less of each. A query visits, in every table, its own bucket and buckets whose functions differ by
 one, in the order of the estimated probability that a neighbour at the usual distance lies there, until
 these add up to what the tables together need for ``TARGET``. What the visited buckets hold is ranked
 by exact distance in double precision, table by table, and merged.
 
 Equal vectors are one entry with the least of their ids, so a vector that is there very often costs no
-more than another. Buckets have no size limit; a query that finds too few is answered from all entries.
+more than another. Crowded buckets are dealt to several tasks, and queries go to all of them. Buckets have
+no size limit; a query that finds too few is answered from all entries.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import small, stored
 
-TABLES, HASHES, TARGET = 4, 8, 0.95
+TABLES, TARGET = (1, 2, 4, 8), 0.95
+#: Numbers of functions to choose from (and of tables, above), what visiting a bucket costs beside ranking a vector, and the
+#: vectors of the sample by which the costs are compared.
+HASHES, VISIT, TRIED = range(4, 33, 2), 50, 8
 #: Slot width as a multiple of the usual distance, and the bound of the sample that this distance is taken from.
 WIDTH, SAMPLE = 2.0, 2048
 #: Entries of a table that one task ranks, and ids of equal vectors in one group while they are counted.
@@ -32,11 +37,20 @@ ENTRIES, MEMBERS = 8192, 4096
 
 @dataclass(frozen=True)
 class Model:
-    """The hash functions and the distance they are made for: ``tables * hashes * (dimensions + 1)`` numbers."""
+    """The hash functions and the distance they are made for: ``tables * hashes * (dimensions + 1)`` numbers.
+
+    ``share`` is the part of all vectors that a query is expected to rank, all tables together.
+    """
 
     a: np.ndarray
     b: np.ndarray
     near: float
+    share: float = 1.0
+
+    @property
+    def reach(self) -> float:
+        """The probability that one table must reach so that all together reach ``TARGET``."""
+        return 1 - (1 - TARGET) ** (1 / len(self.a))
 
     def projections(self, v: np.ndarray) -> np.ndarray:
         """Table, vector, function: places in slots."""
@@ -47,7 +61,9 @@ def fit(sample: np.ndarray, total: int, k: int, seed: int) -> Model:
     """Functions for vectors of which ``sample`` (at most ``SAMPLE``) were drawn out of ``total``.
 
     The usual distance is that to the sample neighbour whose rank corresponds to the ``k``-th of all,
-    at the 90 % quantile of the sample; on a sample it comes out rather too large, so probing too wide.
+    at the 90 % quantile of the sample; on a sample it comes out rather too large, so probing too wide. The
+    number of functions is the first beyond which the estimated cost of a query rises; it grows with
+    ``total``.
     """
     near = 0.0
     if len(sample) > 1:
@@ -59,7 +75,38 @@ def fit(sample: np.ndarray, total: int, k: int, seed: int) -> Model:
     near = near if near > 0 else 1.0
     rng = np.random.default_rng(seed)
     dimensions = sample.shape[1] if len(sample) else 1
-    return Model(rng.normal(size=(TABLES, dimensions, HASHES)), rng.uniform(0, WIDTH * near, (TABLES, HASHES)), near)
+    a, b = rng.normal(size=(TABLES[-1], dimensions, HASHES[-1])), rng.uniform(0, WIDTH * near, (TABLES[-1], HASHES[-1]))
+    best = (math.inf, Model(a[:, :, :1], b[:, :1], near))
+    for tables in TABLES:
+        last = math.inf
+        for hashes in HASHES:
+            model = Model(a[:tables, :, :hashes], b[:tables, :hashes], near)
+            visits, share = _effort(model, sample)
+            cost = visits * VISIT + share * total
+            best = min(best, (cost, Model(model.a, model.b, near, share)), key=lambda x: x[0])
+            if cost >= last:
+                break
+            last = cost
+    return best[1]
+
+
+def _effort(model: Model, sample: np.ndarray) -> tuple[float, float]:
+    """Buckets that a query visits and the part of all vectors that it ranks, in all tables, by some of the sample.
+
+    Infinite where buckets whose functions differ by one at most can't reach what they must.
+    """
+    if not len(sample):
+        return 0.0, 0.0
+    place = model.projections(sample)[0]
+    held, visits, share = codes(np.floor(place).astype(np.int64)), 0.0, 0.0
+    tried = place[:: max(1, len(place) // TRIED)]
+    if np.mean([_chances(p).sum(1).prod() for p in tried]) < model.reach:
+        return math.inf, math.inf
+    for p in tried:
+        wanted = codes(sequence(p, model.reach))
+        visits += len(wanted)
+        share += float(np.isin(held, wanted).mean())
+    return len(model.a) * visits / len(tried), len(model.a) * share / len(tried)
 
 
 def codes(slots: np.ndarray) -> np.ndarray:
@@ -75,6 +122,13 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(math.erf)(x / math.sqrt(2)))
 
 
+def _chances(place: np.ndarray) -> np.ndarray:
+    """For each function the probabilities of the slot below, the own one and the one above."""
+    inside = place - np.floor(place)
+    edges = np.stack([-1 - inside, -inside, 1 - inside, 2 - inside], 1) * WIDTH
+    return np.maximum(np.diff(_normal(edges), axis=1), 1e-12)
+
+
 def sequence(place: np.ndarray, target: float) -> np.ndarray:
     """Slots of the buckets to visit, most promising first, until their probabilities reach ``target``.
 
@@ -82,9 +136,7 @@ def sequence(place: np.ndarray, target: float) -> np.ndarray:
     the usual distance, which is ``1 / WIDTH`` of a slot; so each function has a probability for staying
     and for the slots beside. Sets of changes come off a heap by their summed loss.
     """
-    inside = place - np.floor(place)
-    edges = np.stack([-1 - inside, -inside, 1 - inside, 2 - inside], 1) * WIDTH
-    chance = np.maximum(np.diff(_normal(edges), axis=1), 1e-12)
+    chance = _chances(place)
     order = np.argsort(-chance, axis=1, kind="stable")
     loss = np.log(np.take_along_axis(chance, order, 1))
     loss = loss[:, :1] - loss
@@ -162,7 +214,6 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
     sample = entries.orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("v").collect()
     model = fit(np.array([r["v"] for r in sample] or np.empty((0, 1)), float), max(total, 1), k, seed)
     groups = max(1, -(-total // ENTRIES))
-    target = 1 - (1 - TARGET) ** (1 / TABLES)
 
     asking = rows.where(queries).join(entries.select("vh", "v", "c"), ["vh", "v"]).select(F.col("vec_id").alias("query_id"), "c")
     asking = stored(asking, "vector-queries")
@@ -172,16 +223,16 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
         for pdf in batches:
             if len(pdf):
                 at = codes(np.floor(model.projections(_matrix(pdf["v"]))).astype(np.int64))
-                for t in range(TABLES):
+                for t in range(len(model.a)):
                     yield pd.DataFrame({"t": t, "g": at[t] % groups, "code": at[t], "c": pdf["c"], "v": pdf["v"]})
 
     def probes(batches):
         for pdf in batches:
             if len(pdf):
                 place, rows = model.projections(_matrix(pdf["v"])), []
-                for t in range(TABLES):
+                for t in range(len(model.a)):
                     for c, v, p in zip(pdf["c"], pdf["v"], place[t], strict=True):
-                        at = codes(sequence(p, target))
+                        at = codes(sequence(p, model.reach))
                         g = at % groups
                         rows += [(t, x, c, v, at[g == x]) for x in np.unique(g).tolist()]
                 yield pd.DataFrame(rows, columns=["t", "g", "q", "v", "codes"])
@@ -196,10 +247,17 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
                 found.append((np.full(len(ids), q), ids, d))
         return _told(found)
 
-    # the vectors' part of a table is dealt by bucket, a query goes where its buckets are
+    # the vectors' part of a table is dealt by bucket, a group of crowded ones to several tasks; a query goes
+    # where its buckets are
     indexed = entries.select("c", "v").mapInPandas(index, "t int, g long, code long, c long, v array<double>")
+    crowd = indexed.groupBy("t", "g").agg(F.ceil(F.count("*") / (2 * ENTRIES)).cast("long").alias("parts")).where("parts > 1")
+    crowd = small(stored(crowd, "vector-crowds"))
+    parts = F.coalesce(F.col("parts"), F.lit(1).cast("long"))
+    indexed = indexed.join(crowd, ["t", "g"], "left").withColumn("part", F.pmod(F.xxhash64("c"), parts)).drop("parts")
     asked = probing.mapInPandas(probes, "t int, g long, q long, v array<double>, codes array<long>")
-    found = indexed.groupBy("t", "g").cogroup(asked.groupBy("t", "g")).applyInPandas(rank, "q long, c long, score double")
+    asked = asked.join(crowd, ["t", "g"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    keys = ["t", "g", "part"]
+    found = indexed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(rank, "q long, c long, score double")
     found = stored(found.distinct(), "vector-found")
 
     # entries a query can have at most: itself and k others; with fewer found, all entries are ranked

@@ -68,3 +68,18 @@ def test_visits_come_by_estimated_success():
     chance = np.diff(mp._normal(edges), axis=1)
     p = [np.prod([chance[j, int(s[j] - np.floor(place[j])) + 1] for j in range(3)]) for s in slots]
     assert p == sorted(p, reverse=True) and len({tuple(s) for s in slots}) == len(slots) and sum(p) == pytest.approx(1, abs=0.05)
+
+
+def test_functions_and_tables_grow_with_the_table():
+    """Eight directions at random: a thousand times the vectors are cut into more buckets, a smaller part is ranked."""
+    sample = np.random.default_rng(8).normal(size=(2048, 8))
+    small, large = mp.fit(sample, 2048, 10, 0), mp.fit(sample, 3 * 10**6, 10, 0)
+    assert large.a.shape[2] > small.a.shape[2] and large.share < 0.6 * small.share
+
+
+def test_crowded_buckets_go_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mp, "ENTRIES", 40)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=6) * (0.001 if i % 2 else 1)).astype(np.float32).tolist(), 0) for i in range(800)]
+    got, want = search(spark.createDataFrame(rows, SCHEMA), rows, 20), brute(rows, range(0, 800, 20))
+    assert np.mean([len({x[1] for x in got[q]} & {x[0] for x in want[q]}) / 10 for q in want]) >= 0.9
