@@ -43,6 +43,8 @@ OPEN_LABELS = (r"Applicant(?:\s+Name)?", r"Customer\s+Name", r"Employee\s+Name",
 COLON_LABELS = ("Promoter", "Director", "Signatory", "Witness", "Guarantor")
 NAME = r"[A-Z][a-zA-Z'-]+(?:[ \t]+[A-Z][a-zA-Z'-]+){1,3}"
 LABELED = rf"\b(?:(?:{'|'.join(OPEN_LABELS)})\s*:?\s*|(?:{'|'.join(COLON_LABELS)})\s*:\s*)({NAME})"
+#: All that holds a label, and a little more: one look at a character rules out nearly every place.
+SOME_LABEL = "[ACDEGPSW](?:pplicant|ustomer|mployee|andidate|ontact|uthorized|igned|tt|ear|romoter|irector|ignatory|itness|uarantor)"
 NON_NAMES = ("sir", "madam", "team", "service", "services", "department", "support", "customer", "customers", "staff", "committee", "board", "management", "all", "everyone", "member", "members", "user", "users", "client", "clients", "valued", "dear", "hiring", "recruiting", "recruitment")
 
 
@@ -89,9 +91,13 @@ def email(text: Column, wide: bool = True) -> Column:
     return _regex(text, EMAIL, "email", wide, text.contains("@"))
 
 
-def ip_address(text: Column, wide: bool = True) -> Column:
-    """Dotted quads without leading zeros, then full IPv6 addresses of eight groups."""
-    return F.concat(_regex(text, IPV4, "ip_address", wide, text.rlike(r"\p{Nd}\."), validators.ipv4_valid), _regex(text, IPV6, "ip_address", wide, text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]")))
+def ip_address(text: Column, wide: bool = True, digits: Column | None = None) -> Column:
+    """Dotted quads without leading zeros, then full IPv6 addresses of eight groups.
+
+    ``digits`` tells whether the text holds any, where that is known already.
+    """
+    dotted = text.rlike(r"\p{Nd}\.") if digits is None else digits & text.rlike(r"\p{Nd}\.")
+    return F.concat(_regex(text, IPV4, "ip_address", wide, dotted, validators.ipv4_valid), _regex(text, IPV6, "ip_address", wide, text.contains(":") & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]")))
 
 
 def address(text: Column, wide: bool = True) -> Column:
@@ -136,7 +142,7 @@ def _dob(text: Column, m: Column) -> Column:
 
 def labeled_name(text: Column, wide: bool = True) -> Column:
     """Two to four capitalised words of one line after a label, none of which is a word for a role."""
-    found = spans.matches(text, _unicode(LABELED, wide), group=1, needs=text.rlike("Applicant|Customer|Employee|Candidate|Contact|Authorized|Signed|Att|Dear|Promoter|Director|Signatory|Witness|Guarantor"))
+    found = spans.matches(text, _unicode(LABELED, wide), group=1, needs=text.rlike(SOME_LABEL))
     names = F.filter(found, lambda m: ~F.exists(F.split(F.lower(m["text"]), r"\s+"), lambda w: w.isin(*NON_NAMES)))
     return _entities(names, "person", F.lit(schema.LABELED_CONFIDENCE), schema.LABELS)
 
@@ -154,6 +160,8 @@ def company_words(text: Column, wide: bool = True) -> Column:
     )
 
 
+#: Kinds whose every match holds a digit.
+NUMERIC = frozenset(("ssn", "credit_card", "phone", "address", "dob"))
 #: The detectors in the order of registration, with the types that each finds.
 NATIVE: tuple[tuple[str, Callable[..., Column]], ...] = (("ssn", ssn), ("credit_card", credit_card), ("phone", phone), ("email", email), ("ip_address", ip_address), ("address", address), ("dob", date_of_birth), ("person", labeled_name))
 
@@ -167,12 +175,21 @@ def detect_all(text: Column, types: Iterable[str] = schema.TYPES, as_of: Column
     wanted = set(types)
     if unknown := wanted - set(schema.TYPES):
         raise ValueError(f"unknown types: {sorted(unknown)}")
-    parts = [f(text, as_of, wide) if f is date_of_birth else f(text, wide) for kind, f in NATIVE if kind in wanted]
-    if extra is not None:
-        parts.append(extra)
-    if not parts:
-        return F.array().cast(schema.ENTITIES)
-    return F.transform(F.coalesce(F.concat(*parts), F.array().cast(schema.ENTITIES)), lambda e, i: e.withField("ordinal", i))
+    none = F.array().cast(schema.ENTITIES)
+
+    def together(digits: Column) -> Column:
+        parts = []
+        for kind, f in NATIVE:
+            if kind in wanted:
+                found = f(text, as_of, wide) if f is date_of_birth else f(text, wide, digits) if f is ip_address else f(text, wide)
+                parts.append(F.when(digits, found).otherwise(none) if kind in NUMERIC else found)
+        if extra is not None:
+            parts.append(extra)
+        return F.concat(*parts) if parts else none
+
+    # most texts hold no digit at all; one look for one saves those for every kind that has to have some
+    found = spans.let(text.rlike(r"\p{Nd}"), together) if wanted & (NUMERIC | {"ip_address"}) else together(F.lit(True))
+    return F.transform(F.coalesce(found, none), lambda e, i: e.withField("ordinal", i))
 
 
 def rows(docs: DataFrame, entities: str = "entities", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
