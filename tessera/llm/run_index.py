@@ -110,7 +110,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     n = len(text)
     bits = max(1, (n + 1).bit_length())
     base = int(text.max()) + 2
-    k = next(x for x in (4, 2, 1) if base**x < 1 << 62)
+    k = next(x for x in (4, 3, 2, 1) if base**x < 1 << 62)
     key = np.zeros(n, np.int64)
     for j in range(k):
         key = key * base
@@ -329,12 +329,12 @@ def _indexed(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Ite
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered bytes of a text by length; those of the first length go."""
 
-    def covered(marks: list | None, which: int, n: int) -> np.ndarray:
+    def covered(marks: list, which: int, n: int) -> np.ndarray:
         cover = np.zeros(n + 1, np.int32)
-        for m in marks or ():
+        for m in marks:
             if m["which"] == which:
-                np.add.at(cover, np.array(m["a"], np.int64), 1)
-                np.add.at(cover, np.array(m["b"], np.int64), -1)
+                np.add.at(cover, m["a"], 1)
+                np.add.at(cover, m["b"], -1)
         return np.cumsum(cover[:-1]) > 0
 
     for batch in batches:
@@ -342,12 +342,17 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, kept = [], []
         for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data = text.encode()
+            sizes.append(len(data))
+            if not marks:
+                kept.append(data)
+                for spans in found:
+                    spans.append([])
+                continue
             for which, spans in enumerate(found):
-                gone = covered(marks, which, len(data)) if marks else np.zeros(0, bool)
+                gone = covered(marks, which, len(data))
                 first, last = _runs(gone)
                 spans.append([{"start": x, "end": y + 1} for x, y in zip(first, last, strict=True)])
                 if which == 0:
-                    sizes.append(len(data))
                     kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if first else data)
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found[0], spans_type), pa.array(kept, pa.binary()), pa.array(found[1], spans_type)], ["doc_id", "n_bytes", "spans", "kept", "passages"])
