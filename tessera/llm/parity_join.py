@@ -427,9 +427,10 @@ def one_of_each(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", tex
     """
     grouped = stored(grouped.where("class is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("component").alias("_component")), "parity-grouped")
     row = F.struct(F.col("_id").isNull().alias("last"), "_id", "_h")
-    best = grouped.groupBy("_component").agg(F.min(row).alias("_best"))
-    gone = grouped.join(best, "_component").where(~row.eqNullSafe(F.col("_best"))).select("_id", "_h").distinct()
-    gone = stored(gone, "parity-gone")
+    best = grouped.groupBy("_component").agg(F.min(row).alias("b")).select("b._id", "b._h")
+    # rows of a large component meet by id and text, not by component
+    one = F.col("g._id").eqNullSafe(F.col("b._id")) & (F.col("g._h") == F.col("b._h"))
+    gone = stored(grouped.select("_id", "_h").distinct().alias("g").join(best.alias("b"), one, "left_anti"), "parity-gone")
     kept = docs.join(small(gone), F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_h")), "left_anti")
     if grouped.groupBy("_id", "_h").count().where("count > 1").isEmpty():
         return kept
