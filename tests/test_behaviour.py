@@ -395,7 +395,11 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame([(1, "reach a@b.co or 555-123-4567"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     main(["detect", str(tmp_path / "in"), str(tmp_path / "found"), "--types", "email"], spark)
     assert [r["text"] for r in spark.read.parquet(str(tmp_path / "found")).collect()] == ["a@b.co"]
-    main(["redact", str(tmp_path / "in"), str(tmp_path / "out"), "--strategy", "phone=generalize"], spark)
+    main(["redact", str(tmp_path / "in"), str(tmp_path / "usual")], spark)  # pseudonyms, unless told otherwise
+    usual = {r["doc_id"]: r["redacted"] for r in spark.read.parquet(str(tmp_path / "usual/texts")).collect()}
+    assert "@example.com or " in usual[1] and "555-123-4567" not in usual[1] and usual[2] is None
+    capsys.readouterr()
+    main(["redact", str(tmp_path / "in"), str(tmp_path / "out"), "--strategy", "mask", "phone=generalize"], spark)
     got = {r["doc_id"]: r["redacted"] for r in spark.read.parquet(str(tmp_path / "out/texts")).collect()}
     assert got == {1: "reach [REDACTED-EMAIL] or [PHONE ENDING 4567]", 2: None}
     assert "total          2" in capsys.readouterr().out
