@@ -23,6 +23,10 @@ def status_changes(events: DataFrame, remembered_ms: int = REMEMBERED_MS) -> Dat
     Only the last state of each job is kept. After an end state a job says nothing more, and after
     ``remembered_ms`` without another event it is forgotten. Within a micro-batch events go by time, then
     state. Null states are passed over.
+
+    As jobs are forgotten by the clock, the stream runs batches even when nothing new came, so
+    ``processAllAvailable`` and ``availableNow`` never end on it: ``trigger(once=True)`` does, and a stream
+    that goes on wants a ``processingTime``.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

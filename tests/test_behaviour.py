@@ -330,6 +330,22 @@ def test_artifacts(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 1
 
 
+def test_status_stream_ends(spark):
+    import threading
+
+    from tessera.plans.queries import status_stream
+
+    out = []
+    run = threading.Thread(target=lambda: out.extend(status_stream(spark, "").collect()), daemon=True)
+    run.start()
+    run.join(120)
+    left = spark.streams.active
+    for q in left:
+        q.stop()
+    assert not left and not run.is_alive()
+    assert sorted((r["job_id"], r["status"]) for r in out) == [("j1", "completed"), ("j1", "detecting"), ("j1", "needs_review"), ("j1", "queued"), ("j2", "failed"), ("j2", "queued")]
+
+
 def test_detection_runs_on_a_stream(spark, tmp_path):
     from tessera.streaming import status
 
