@@ -12,6 +12,7 @@ Layout (little-endian): packed blocks; for each document its id (int64), whether
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -35,10 +36,10 @@ BLOCK = 1 << 16
 MAGIC = b"TSBITS01"
 FOOTER = struct.Struct("<8sIIQQQQ")  # magic, bits, ids a block, ids, documents, place of documents, place of offsets
 #: Pieces of text whose ids a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 MARKS = frozenset(".,;:!?")
 #: Bytes of texts that are encoded together (one text may be longer), and new pieces that are.
-TOGETHER_BYTES, JOINED = 1 << 20, 16384
+TOGETHER_BYTES, JOINED = 4 << 20, 16384
 # How byte-level vocabularies write a space and a line end.
 SPACE, LINE = "\u0120", "\u010a"
 #: No token of a byte-level pre-tokenizer lies across these places, so texts can be cut there: before a
@@ -258,13 +259,17 @@ class Encoder:
                 self._add(of, ids, sizes[::2] + sizes[1::2])
 
     def _rows(self, keys: list[str]) -> np.ndarray:
-        new = [k for k in keys if k not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
+        """The rows of different keys; those that aren't known are learnt."""
+        rows = np.fromiter(map(self.known.get, keys, itertools.repeat(-2)), np.int64, len(keys))
+        missing = np.flatnonzero(rows == -2)
+        if len(missing):
+            if len(self.known) + len(missing) > REMEMBERED:
                 self._forget()
-                new = list(dict.fromkeys(keys))
+                missing = np.arange(len(keys))
+            new = [keys[k] for k in missing.tolist()]
             self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+            rows[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return rows
 
     def _whole(self, text: str) -> np.ndarray:
         """A text with places that can't be cut: pieces between those that can, or all of it at once."""
@@ -288,7 +293,10 @@ class Encoder:
         marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.replace_substring(texts.filter(plain), "\n", " \n"), pa.scalar("", pa.large_string()))
         pieces = pc.split_pattern(marked, " ")
         coded = pieces.flatten().dictionary_encode()
-        rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        different = coded.dictionary
+        # no piece holds a space, so Python splits them off one text, which is faster than to_pylist
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(different)], different), pa.scalar(" ", pa.large_string()))[0].as_py()
+        rows = self._rows(joined.split(" ") if len(different) else [])[coded.indices.to_numpy()]
         starts = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))]).astype(np.int64)
         cut = np.flatnonzero(~whole)
         unsafe = np.concatenate([[0], np.cumsum(rows < 0)])

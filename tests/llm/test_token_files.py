@@ -63,6 +63,30 @@ def rows_of(df):
     return sorted(map(tuple, df.select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
 
 
+def test_known_pieces_are_looked_up_once():
+    class Counting(dict):
+        looks = 0
+
+        def get(self, *key):
+            Counting.looks += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            Counting.looks += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counting.looks += 1
+            return super().__getitem__(key)
+
+    encode = tf.Encoder(PATH, 2)
+    first = encode(["one two three two.", "four one"])
+    encode.known = Counting(encode.known)
+    again = encode(["one two three two.", "four one"])
+    assert Counting.looks <= len({"\0one", "two", "three", "two.", "\0four", "one"})
+    assert [x.tolist() for x in again] == [x.tolist() for x in first]
+
+
 def test_files_round_trip(docs, corpus):
     files = tf.write(docs, PATH, 2)
     assert rows_of(tf.read(files)) == expected(corpus)
