@@ -32,7 +32,7 @@ from tessera.llm import shingles
 from tessera.llm.common import shuffle_partitions, stored, tidy
 
 #: Bytes of a gram; of segments in one index; of different segments of a hash beyond which it is split.
-GRAM, INDEX_BYTES, HOT_BYTES = 64, 1 << 20, 6 << 20
+GRAM, INDEX_BYTES, HOT_BYTES = 64, 1 << 17, 6 << 20
 #: Offsets that stay together as a hot hash is split again and again.
 WIDTHS = (64, 16, 4, 1)
 #: Of which length a segment's windows are asked for: one of the two by number, or both. How tables between steps are kept.
@@ -64,13 +64,17 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, grams: np.ndarray, gram: i
         none = np.empty(0, np.int64)
         return none, none.view(np.uint64), none, none
     least = _sliding_least(grams, length - gram + 1)
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.flatnonzero(np.arange(len(least)) + length <= offsets[of[: len(least)] + 1])
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]]) | (of[at[1:]] != of[at[:-1]])
+    begin, end = offsets[:-1], offsets[1:] - length + 1  # a text's windows start from the one up to the other
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[begin[begin < len(least)]] = True
+    new[end[(begin < end) & (end < len(least))]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at))[: len(first)] - 1
-    return of[at[first]], least[at[first]], at[first], at[last] + length
+    last = np.append(first[1:], len(least)) - 1
+    of = np.searchsorted(offsets, first, "right") - 1
+    inside = first < end[of]
+    of, first, last = of[inside], first[inside], last[inside]
+    return of, least[first], first, last + length
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, ...]:
@@ -94,10 +98,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     # a hash that occurs twice in a text is among the least ones there both times
     most = np.zeros(len(offsets), np.uint64)
     np.maximum.at(most, text, h)
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(grams)]
-    low = np.flatnonzero(grams <= most[of])
+    low = np.flatnonzero(grams <= np.repeat(most[:-1], np.diff(offsets))[: len(grams)])
     salt = shingles.mix(np.arange(len(offsets), dtype=np.uint64) + np.uint64(1))
-    found = np.sort(grams[low] ^ salt[of[low]])
+    found = np.sort(grams[low] ^ salt[np.searchsorted(offsets, low, "right") - 1])
     again = np.unique(found[1:][found[1:] == found[:-1]])
     return text, h.view(np.int64), a - offsets[text], b - offsets[text], np.isin(h ^ salt[text], again)
 
@@ -117,21 +120,25 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         key[: n - j] += text[j:] + 1
     order = np.argsort(key)
     ordered = key[order]
-    ranks = {}
+    rank, at, ranks = np.empty(n, np.int32), np.arange(n), {}
     while True:
-        rank = np.empty(n, np.int32)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.int32)
+        # equal suffixes have the rank of the first of them; those that stand alone are in their place for good
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        rank[order[at]] = at[head]
         ranks[k] = rank
-        if int(rank[order[-1]]) == n - 1:
+        at = at[~(new & np.append(new[1:], True))]
+        if not len(at):
             return order, ranks
-        key = rank.astype(np.int64) << bits
-        key[: n - k] += rank[k:] + 1
+        place = order[at]  # none of the prefixes holds an end, so something follows each
+        key = rank[place].astype(np.int64) << bits | rank[place + k]
         if 3 * bits <= 63:  # with the place in the low bits a plain sort does, which is the fastest
-            packed = np.sort(key << bits | np.arange(n))
-            order, ordered = packed & ((1 << bits) - 1), packed >> bits
+            packed = np.sort(key << bits | place)
+            order[at], ordered = packed & ((1 << bits) - 1), packed >> bits
         else:
-            order = np.argsort(key)
-            ordered = key[order]
+            by = np.argsort(key)
+            order[at], ordered = place[by], key[by]
+        rank = rank.copy()
         k *= 2
 
 
@@ -196,11 +203,18 @@ def _pairs(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(parts: list[bytes], groups: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
-    """For each length and part, which of its windows start at another place of its group as well."""
+def repeated(parts: list[bytes], groups: list[int], lengths: tuple[int, ...]) -> list[list[tuple[list[int], list[int]]]]:
+    """For each length and part, the first and last of each run of windows that start at another place of its group as well."""
     index = RunIndex(parts, groups)
     matching = index.matching()
-    return [[matching[a : a + max(0, len(p) - n + 1)] >= n for a, p in zip(index.starts, parts, strict=True)] for n in lengths]
+    out = []
+    for n in lengths:  # no match goes beyond a part's end, so no run does
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], matching >= n, [False]]).view(np.int8)))
+        at = np.searchsorted(edges[::2], np.append(index.starts, index.n))
+        of = np.repeat(index.starts, np.diff(at))
+        a, b, at = (edges[::2] - of).tolist(), (edges[1::2] - 1 - of).tolist(), at.tolist()
+        out.append([(a[x:y], b[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)])
+    return out
 
 
 def _runs(marks: np.ndarray) -> tuple[list[int], list[int]]:
@@ -296,12 +310,10 @@ def _indexed(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Ite
         groups = [number.setdefault(k[0], len(number)) for k in rows]
         marked = repeated([k[2] for k in rows], groups, lengths) if rows else [[]] * len(lengths)
         for k, length in enumerate(lengths):
-            for marks, ((_, which, body), owners) in (*zip(marked[k], rows.items(), strict=True), *((None, c) for c in copies)):
+            for runs, ((_, which, body), owners) in (*zip(marked[k], rows.items(), strict=True), *((None, c) for c in copies)):
                 if which not in (BOTH, k) or len(body) < length:
                     continue
-                if sum(x[3] for x in owners) > 1:
-                    marks = np.ones(len(body) - length + 1, bool)
-                a, b = _runs(marks)
+                a, b = runs if sum(x[3] for x in owners) == 1 else ([0], [len(body) - length])
                 for h, part, off, _ in owners if a else ():
                     for column, x in zip(out, (h, part, k, [off + x for x in a], [off + x + length for x in b]), strict=True):
                         column.append(x)

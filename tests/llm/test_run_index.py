@@ -87,6 +87,20 @@ def test_matching_statistics_from_sampled_run_ends():
         assert index.matching().tolist() == naive_matching(text, at)
 
 
+def test_only_unsettled_suffixes_are_sorted_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(97, 123, 3000).astype(np.uint8).tobytes(), b"ab" * 200, b"ab" * 150]
+    text = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int64) + len(parts), k) for k, p in enumerate(parts)])
+    sizes, sort = [], np.sort
+    monkeypatch.setattr(ri.np, "sort", lambda x: sizes.append(len(x)) or sort(x))
+    order, ranks = ri.suffix_array(text)
+    monkeypatch.undo()
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    assert len(sizes) > 5 and max(sizes[1:]) < 1000 < len(text)
+    for k, rank in ranks.items():
+        assert [rank[i] == rank[j] for i, j in zip(order, order[1:])] == [(text[i : i + k] == text[j : j + k]).all() if max(i, j) + k <= len(text) else False for i, j in zip(order, order[1:])]
+
+
 def test_repetitive_text_has_few_runs():
     rng = random.Random(6)
     base = sentence(rng, 300).encode()
